@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import neighbours
+from quillstone.llm import neardup, neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,5 +20,13 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.most_similar(_table(spark, folder, "drawers"), trees=16, window=768).withColumn("cosine", F.round("cosine", 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_pairs(_table(spark, folder, "drawers"), shingle=3, least=0.6)
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_groups(_table(spark, folder, "drawers"), shingle=3, least=0.6)
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
 SQL: dict[str, str] = {}
