@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import neardup, neighbours
+from quillstone.llm import neardup, neighbours, overlap, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,23 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.most_similar(_table(spark, folder, "drawers"), trees=16, window=768).withColumn("cosine", F.round("cosine", 6))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_split(overlap.exploded_queries(_table(spark, folder, "multi_domain_queries")), least=0.65)
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    queries = overlap.exploded_queries(_table(spark, folder, "multi_domain_queries"))
+    return overlap.report(queries, overlap.cross_split(queries, least=0.65))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.oversized_pieces(_table(spark, folder, "drawers")).select("id").distinct()
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.replaced(_table(spark, folder, "drawers"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_pairs(_table(spark, folder, "drawers"), shingle=3, least=0.6)
 
@@ -28,5 +45,10 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(_table(spark, folder, "drawers"), shingle=3, least=0.6)
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_groups": p4_groups}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups)}
+SQL: dict[str, str] = {
+    "p3_found": """
+        SELECT DISTINCT id FROM drawers
+        WHERE id IS NOT NULL AND strlen(trim(content, E' \\t\\r\\n')) > 800
+    """,
+}
