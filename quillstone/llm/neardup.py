@@ -67,12 +67,12 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, *, shingle: int, lea
     texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     sets = stage(texts.mapInArrow(_sets(shingle), "id string, cls long, n int, sh array<int>"), "shingles")
     members = sets.select("id", "cls").distinct()
-    rows_ = sets.select("cls", "sh").mapInArrow(_bands(band_count, rows), "band long, cls long, s0 long, s1 long").dropDuplicates(["band", "cls"])
+    whole = sets.groupBy("cls").agg(F.first("sh").alias("sh"))
+    rows_ = whole.mapInArrow(_bands(band_count, rows), "band long, cls long, s0 long, s1 long")
     a, b = rows_.alias("a"), rows_.alias("b")
     differ = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.cls") < F.col("b.cls")) & (differ <= _far(least)))
     met = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    whole = sets.groupBy("cls").agg(F.first("sh").alias("sh"))
     pairs = met.join(whole.select(F.col("cls").alias("cls_a"), F.col("sh").alias("sh_a")), "cls_a").join(whole.select(F.col("cls").alias("cls_b"), F.col("sh").alias("sh_b")), "cls_b")
     both = F.size(F.array_intersect("sh_a", "sh_b"))
     pairs = pairs.withColumn("similarity", both / (F.size("sh_a") + F.size("sh_b") - both)).where(F.col("similarity") >= least)
