@@ -2,7 +2,33 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from quillstone.streaming import incremental
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _sync(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        incremental.listed_files(_table(spark, folder, "session_files")),
+        incremental.latest_records(_table(spark, folder, "session_records")),
+        incremental.latest_checkpoints(_table(spark, folder, "agent_session_sync_state")),
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return incremental.pending(*_sync(spark, folder)).select("adapter", "source_key", "start_byte")
+
+
+def p5_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
+    files, records, _ = _sync(spark, folder)
+    return incremental.new_checkpoints(files, records)
+
+
+QUERIES: dict = {f.__name__: f for f in (p5_found, p5_checkpoints)}
 SQL: dict[str, str] = {}
 
 
