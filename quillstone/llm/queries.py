@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import neardup, neighbours, overlap, splitting
+from quillstone.llm import leaks, neardup, neighbours, overlap, packing, splitting
+from quillstone.plans.staging import stage
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,7 +46,15 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(_table(spark, folder, "drawers"), shingle=3, least=0.6)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups)}
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(stage(packing.token_lengths(_table(spark, folder, "documents")), "lengths"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found)}
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT DISTINCT id FROM drawers
