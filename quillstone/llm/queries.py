@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import leaks, neardup, neighbours, overlap, packing, splitting
+from quillstone.llm import leaks, neardup, neighbours, overlap, packing, pii, splitting
 from quillstone.plans.staging import stage
 
 
@@ -54,7 +54,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found)}
+#: Pseudonyms of the queries over test tables; a real run passes its own secret key.
+TEST_KEY = b"key of the test tables"
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.findings(_table(spark, folder, "documents")).select("doc_id", "pii_type", "pii_value").distinct()
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(_table(spark, folder, "documents"), key=TEST_KEY)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found, p8_found, p8_redacted)}
 SQL: dict[str, str] = {
     "p3_found": """
         SELECT DISTINCT id FROM drawers
