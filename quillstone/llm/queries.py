@@ -67,9 +67,49 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found, p8_found, p8_redacted)}
+_SETS = r"""
+    words AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM drawers) WHERE id IS NOT NULL AND content IS NOT NULL),
+    sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
+    sizes AS (SELECT id, count(*) AS n FROM sh GROUP BY id)
+"""
+
 SQL: dict[str, str] = {
-    "p3_found": """
+    "p1_found": """
+        WITH v AS (
+            SELECT DISTINCT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM drawers
+            WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        near AS (
+            SELECT a.id AS id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
+        best AS (SELECT id, neighbour, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour) AS r FROM near)
+        SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best WHERE r <= 5 AND c >= 0.9
+    """,
+    "p2_found": r"""
+        WITH q AS (SELECT DISTINCT u.id AS id, u.text AS t, lower(trim(u.split)) AS split FROM (SELECT unnest(queries) AS u FROM multi_domain_queries)),
+        w AS (SELECT DISTINCT id, split, t, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS word FROM q WHERE id IS NOT NULL AND t IS NOT NULL AND split IN ('train', 'dev', 'held_out')),
+        n AS (SELECT id, split, t, count(*) AS n FROM w GROUP BY ALL),
+        shared AS (
+            SELECT a.id AS x, b.id AS y, a.split AS xs, b.split AS ys, a.t AS xt, b.t AS yt, count(*) AS k FROM w a JOIN w b ON a.word = b.word AND a.split = 'train' AND b.split <> 'train' AND a.id <> b.id
+            GROUP BY ALL)
+        SELECT DISTINCT least(x, y) AS query_id_a, greatest(x, y) AS query_id_b
+        FROM shared JOIN n a ON a.id = x AND a.split = xs AND a.t = xt JOIN n b ON b.id = y AND b.split = ys AND b.t = yt
+        WHERE k >= 0.65 * (a.n + b.n - k)
+    """,
+    "p3_found": r"""
         SELECT DISTINCT id FROM drawers
-        WHERE id IS NOT NULL AND strlen(trim(content, E' \\t\\r\\n')) > 800
+        WHERE id IS NOT NULL AND strlen(trim(content, E' \t\r\n')) > 800
+    """,
+    "p4_found": f"""
+        WITH {_SETS},
+        shared AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+        SELECT x AS id_a, y AS id_b FROM shared JOIN sizes a ON a.id = x JOIN sizes b ON b.id = y WHERE k >= 0.6 * (a.n + b.n - k)
+    """,
+    "p7_found": r"""
+        WITH items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM benchmark_items WHERE item_id IS NOT NULL),
+        docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+        lengths AS (SELECT DISTINCT least(10, len(w)) AS m FROM items WHERE len(w) > 0),
+        pats AS (SELECT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS p FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+        runs AS (SELECT doc_id, m, array_to_string(w[i : i + m - 1], ' ') AS p FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, lengths WHERE len(w) >= m))
+        SELECT DISTINCT doc_id, item_id FROM runs JOIN pats USING (m, p)
     """,
 }
