@@ -28,8 +28,9 @@ FAMILY_HEADS = "ashr bramm dunm ferri graun halde ilve kestr lorm marro nork osk
 FAMILY_TAILS = "adi andez ault eaux enko erman gate holt ilson ington lund mark ova over wyck".split()
 PARTICLES = "de la|de las|de los|van der|van den|von der|von und zu|al|bin|da|das|de|del|della|den|der|di|dos|du|el|la|le|ten|ter|van|von|zu|zum|zur".split("|")
 
-#: Letters with marks are read without them, one for one, so that offsets stay.
-FOLD = str.maketrans("áàâäãåéèêëíìîïóòôöõúùûüýñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ", "aaaaaaeeeeiiiiooooouuuuyncAAAAAAEEEEIIIIOOOOOUUUUYNC")
+#: Letters with marks are read without them and in lower case, one for one, so that offsets stay.
+_MARKED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýñç", "aaaaaaeeeeiiiiooooouuuuync"
+FOLD = str.maketrans(_MARKED + _MARKED.upper() + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _PLAIN * 2 + "abcdefghijklmnopqrstuvwxyz")
 
 _any = "|".join
 _G = f"(?:{_any(GIVEN_HEADS)})(?:{_any(GIVEN_TAILS)})"
@@ -38,13 +39,16 @@ _SS = rf"{_S}(?:-{_S})?"
 _W = r"[ \t  ​]{1,2}"
 _P = rf"(?:(?:{_any(sorted(PARTICLES, key=len, reverse=True))}){_W})"
 _I = rf"(?:[a-z]\.(?:{_W})?)"
-NAME = re.compile(rf"(?<![\w@.+'-])(?:(?:{_G}{_W}|{_I}){_I}{{0,2}}{_P}?{_SS}|{_P}?{_SS}(?:,{_W}|{_W}){_G}(?:{_W}[a-z]\.(?!\w))?)(?![\w@]|[-'.+_]\w)", re.I)
+FAMILY = re.compile(_S)
+NAME = re.compile(rf"(?<![\w@.+'-])(?:(?:{_G}{_W}|{_I}){_I}{{0,2}}{_P}?{_SS}|{_P}?{_SS}(?:,{_W}|{_W}){_G}(?:{_W}[a-z]\.(?!\w))?)(?![\w@]|[-'.+_]\w)")
+#: A name begins at most so far before its first family name.
+_REACH = 80
 
 _AT = r"(?:[  ]?@[  ]?|[  ]?[\[({]\s?(?:at|arroba)\s?[\])}][  ]?|[  ]at[  ]|&#64;|&#x40;|%40|＠)"
 _DOT = r"(?:\.|[  ]?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}][  ]?|[  ]dot[  ])"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
-EMAIL = re.compile(rf"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,24}}(?![\w-])", re.I)
-_AT_HINT = re.compile(r"@|[\[({]\s?(?:at|arroba)\s?[\])}]|&#64;|&#x40;|%40|＠| at \w+(?: dot |\.)", re.I)
+_SIGN = re.compile(r"@|[\[({]\s?(?:at|arroba)\s?[\])}]|&#64;|&#x40;|%40|＠|(?<=[  ])at(?=[  ][a-z0-9-]+(?:\.|[  ]dot[  ])[a-z0-9])", re.I)
+_DOMAIN = re.compile(rf"[  ]?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[a-z]{{2,24}}(?![\w-])", re.I)
 
 _s = r"[   .\-/]?"
 _r = r"[   .\-/]"
@@ -81,35 +85,71 @@ _CAP = r"[^\W\d_][\w'’-]*"
 _NO = r"\d{1,4}(?:[  ]?[A-Za-z](?![\w]))?"
 _EN_WORDS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Drive|Dr|Close|Crescent|Terrace|Way|Square|Sq|Place|Pl|Boulevard|Blvd|Row|Mews"
 _EN = f"(?:{_EN_WORDS}|{_EN_WORDS.upper()})"
-STREET = re.compile(
-    rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]|[  ][a-z]))?)(?![  ](?:map|maps|block|works)\b)"
-    rf"|(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|straÃ\x9fe)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)[  ][A-ZÄÖÜ][\wäöüß-]*(?:[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))?|[A-ZÄÖÜ][\wäöüß-]*er[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))[  ]\d{{1,4}}[  ]?(?:[a-zA-Z](?![\w]))?"
-    rf"|(?<![\w.\-/])\d{{1,4}}(?:[  ](?:bis|ter|quater))?,?[  ](?:rue|boulevard|bd|avenue|av\.|place|chemin|allée|allee|impasse|quai|cours|route|square)[  ](?:(?:de la|de l['’]|des|du|de|d['’])[  ]?)?(?:la[  ])?[A-ZÀ-Ý][\w'’-]*"
-    rf"|(?<![\w-])(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Pº|Camino|Ronda|Travesía)[  ]?(?:(?:de la|de los|de las|del|de)[  ])?[A-ZÀ-Ý][\w'’-]*,?[  ](?:(?:nº|n\.º|núm\.|n°|no\.)[  ]?)?\d{{1,4}}(?:[  ]?[A-Za-z](?![\w]))?"
+#: For each language, words of which one must be in a text before it is searched, and the pattern.
+STREETS = tuple(
+    (words, re.compile(pattern))
+    for words, pattern in (
+        ((), rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]|[  ][a-z]))?)(?![  ](?:map|maps|block|works)\b)"),
+        (("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz", "ufer ", "damm ", "ring ", "Platz", "Ring", "Weg", "Ufer", "Damm", "Straße", "Allee", "Tor ", "Markt", "straÃ", "Am ", "An der ", "Auf der ", "Im ", "In der ", "Zum ", "Zur "), rf"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|straÃ\x9fe)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)[  ][A-ZÄÖÜ][\wäöüß-]*(?:[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))?|[A-ZÄÖÜ][\wäöüß-]*er[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))[  ]\d{{1,4}}[  ]?(?:[a-zA-Z](?![\w]))?"),
+        (("rue ", "boulevard ", "bd ", "avenue ", "av. ", "place ", "chemin ", "allée ", "allee ", "impasse ", "quai ", "cours ", "route ", "square ", "\xa0"), rf"(?<![\w.\-/])\d{{1,4}}(?:[  ](?:bis|ter|quater))?,?[  ](?:rue|boulevard|bd|avenue|av\.|place|chemin|allée|allee|impasse|quai|cours|route|square)[  ](?:(?:de la|de l['’]|des|du|de|d['’])[  ]?)?(?:la[  ])?[A-ZÀ-Ý][\w'’-]*"),
+        (("Calle", "C/", "Plaza", "Pza.", "Avenida", "Avda.", "Av.", "Paseo", "Pº", "Camino", "Ronda", "Travesía"), rf"(?<![\w-])(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Pº|Camino|Ronda|Travesía)[  ]?(?:(?:de la|de los|de las|del|de)[  ])?[A-ZÀ-Ý][\w'’-]*,?[  ](?:(?:nº|n\.º|núm\.|n°|no\.)[  ]?)?\d{{1,4}}(?:[  ]?[A-Za-z](?![\w]))?"),
+    )
 )
 _CHAPTER = re.compile(r"(?:chapter|section|part|page|figure|table|kapitel|chapitre|capítulo)[  ]$", re.I)
 _DIGIT = re.compile(r"\d")
 
-KINDS = ("email", "person_name", "phone", "national_id", "street_address")
+ORDER = {k: i for i, k in enumerate(("email", "street_address", "national_id", "phone", "person_name"))}
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    for m in _SIGN.finditer(text):
+        a, b = m.span()
+        if a and text[a - 1] in "  ":
+            a -= 1
+        if not a or not (text[a - 1].isalnum() or text[a - 1] == "_"):
+            continue
+        domain = _DOMAIN.match(text, b)
+        if not domain:
+            continue
+        while a and (text[a - 1].isalnum() or text[a - 1] in "_.+%'-"):
+            a -= 1
+        while not (text[a].isalnum() or text[a] == "_"):
+            a += 1
+        yield a, domain.end()
+
+
+def _streets(text: str) -> Iterator[tuple[int, int]]:
+    for words, pattern in STREETS:
+        if words and not any(w in text for w in words):
+            continue
+        for m in pattern.finditer(text):
+            if not _CHAPTER.search(text, max(0, m.start() - 12), m.start()):
+                yield m.start(), m.start() + len(m[0].rstrip("  "))
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    plain, done = text.lower() if text.isascii() else text.translate(FOLD), 0
+    for family in FAMILY.finditer(plain):
+        if family.start() < done:
+            continue
+        m = NAME.search(plain, max(done, family.start() - _REACH), family.end() + _REACH)
+        if m:
+            yield m.span()
+            done = m.end()
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
-    """``(start, end, type)`` of every finding, by start; findings don't overlap."""
+    """``(start, end, type)`` of every finding, by start; findings don't overlap. Where they would, the earlier of ``ORDER`` stays."""
     if not text:
         return []
-    out: list[tuple[int, int, str]] = []
-    if _AT_HINT.search(text):
-        out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    out = [(a, b, "email") for a, b in _emails(text)]
     if _DIGIT.search(text):
-        for m in STREET.finditer(text):
-            if not _CHAPTER.search(text, max(0, m.start() - 12), m.start()):
-                out.append((m.start(), len(text[: m.end()].rstrip("  ")) if text[m.end() - 1] in "  " else m.end(), "street_address"))
+        out += [(a, b, "street_address") for a, b in _streets(text)]
         out += [(m.start(), m.end(), "national_id") for m in NATIONAL.finditer(text)]
         out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text)]
-    out += [(m.start(), m.end(), "person_name") for m in NAME.finditer(text.translate(FOLD))]
-    order = {k: i for i, k in enumerate(("email", "street_address", "national_id", "phone", "person_name"))}
+    out += [(a, b, "person_name") for a, b in _names(text)]
     kept: list[tuple[int, int, str]] = []
-    for f in sorted(out, key=lambda f: (order[f[2]], f[0])):
+    for f in sorted(out, key=lambda f: (ORDER[f[2]], f[0])):
         if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
             kept.append(f)
     return sorted(kept)
