@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quillstone.streaming import incremental
-
-
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def _sync(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return (
-        incremental.listed_files(_table(spark, folder, "session_files")),
-        incremental.latest_records(_table(spark, folder, "session_records")),
-        incremental.latest_checkpoints(_table(spark, folder, "agent_session_sync_state")),
-    )
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return incremental.pending(*_sync(spark, folder)).select("adapter", "source_key", "start_byte")
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL where SQL can say it."""
 
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
 
-def p5_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
-    files, records, _ = _sync(spark, folder)
-    return incremental.new_checkpoints(files, records)
+    return add
 
 
-QUERIES: dict = {f.__name__: f for f in (p5_found, p5_checkpoints)}
-SQL: dict[str, str] = {}
+def entry(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship query."""
+    return QUERIES["hybrid_search"](spark, folder)
 
 
-def entry(spark, folder):
-    return QUERIES["hybrid_search"](spark, folder)
+from quillstone.plans import evaluation_queries, graph_queries, ingest_queries, scan_queries, search_queries, store_queries, sync_queries  # noqa: E402, F401
