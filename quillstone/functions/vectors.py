@@ -26,6 +26,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), value).when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit("vectors of different lengths")).cast("double"))
 
 
+def _similarities(queries: list[list[float]]) -> Callable:
+    q = np.asarray(queries, np.float64)
+    norms = np.linalg.norm(q, axis=1, keepdims=True)
+    unit = q / np.where(norms == 0, 1, norms)
+
+    def score(vectors):
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        # twelve places: equal vectors get equal values, wherever they stand in a batch
+        return pd.Series(list(np.clip((x / np.where(norm == 0, 1, norm)) @ unit.T, -1, 1).round(12)))
+
+    score.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
+    return score
+
+
+def cosines(vectors: Column, queries: list[list[float]]) -> Column:
+    """The cosines of a vector with each of the query vectors, as an array; a matrix product for each batch. Vectors must be of one length, not null and finite."""
+    return F.pandas_udf(_similarities(queries), "array<double>")(vectors)
+
+
 def stable_hash(token: str) -> int:
     h = SEED
     for byte in token.encode("utf-8", "surrogatepass"):
@@ -34,7 +56,7 @@ def stable_hash(token: str) -> int:
 
 
 def _encode(dim: int) -> Callable:
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches):
         place: dict[str, int] = {}
         for lists in batches:
             out = np.zeros((len(lists), dim), np.float32)
@@ -47,13 +69,15 @@ def _encode(dim: int) -> Callable:
             norm = np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True)
             yield pd.Series(list((out / np.where(norm == 0, 1, norm)).astype(np.float32)))
 
+    # the hints as classes: as text, which the future import makes of them, they aren't understood
+    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return encode
 
 
 def hash_embed(x: Column, dim: int) -> Column:
     """Counts of hashed words, of unit length: the encoder where no model is at hand. Null and wordless texts give zeros."""
     tokens = F.regexp_extract_all(ascii_lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.pandas_udf(_encode(dim), "array<float>", F.PandasUDFType.SCALAR_ITER)(tokens)
+    return F.pandas_udf(_encode(dim), "array<float>")(tokens)
 
 
 def hash_embed_text(text: str, dim: int) -> list[float]:

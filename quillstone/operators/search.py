@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import words as W
-from quillstone.functions.vectors import cosine, dot
+from quillstone.functions.vectors import cosine, cosines
 
 RRF, K1, B = 60, 1.2, 0.75
 LIMIT, LIMIT_CAP = 5, 1024
@@ -85,6 +85,16 @@ def applies(target: str | Column, kind: Column) -> Column:
     return (t == "all") | ((t == "code") == (kind == "code"))
 
 
+def held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with columns that are computed once, however often later expressions use them.
+
+    A plain projection would be merged into the next one and its expressions repeated at every use; what a generator
+    puts out is not.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return rows.select(*rows.columns, F.inline(packed))
+
+
 def scoped(drawers: DataFrame, wing: str | None, room: str | None) -> DataFrame:
     if wing is not None:
         drawers = drawers.where(F.col("wing") == wing)
@@ -107,10 +117,11 @@ def dense_ranks(drawers: DataFrame, views: list[tuple[View, list[float]]], k: in
     v = F.col("embedding")
     size = len(views[0][1])
     usable = (F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    each = [F.struct(F.lit(i).alias("view"), F.lit(w.target).alias("target"), F.lit(w.weight).alias("weight"), cosine(v, _vector(q)).alias("similarity")) for i, (w, q) in enumerate(views)]
-    rows = drawers.where(usable).select("id", "content_kind", F.explode(F.array(*each)).alias("s")).where(applies(F.col("s.target"), F.col("content_kind")))
+    meta = F.array(*[F.struct(F.lit(i).alias("view"), F.lit(w.target).alias("target"), F.lit(w.weight).alias("weight")) for i, (w, _) in enumerate(views)])
+    rows = drawers.where(usable).select("id", "content_kind", cosines(v, [q for _, q in views]).alias("c"))
+    rows = rows.select("id", "content_kind", F.inline(F.arrays_zip(meta.alias("s"), F.col("c").alias("similarity")))).where(applies(F.col("s.target"), F.col("content_kind")))
     order = Window.partitionBy("view").orderBy(F.desc("similarity"), F.desc("id"))
-    return rows.select("id", "s.view", "s.weight", "s.similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "view", "weight", "rank")
+    return rows.select("id", "s.view", "s.weight", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "view", "weight", "rank")
 
 
 def term_count(words: Column, term: str) -> Column:
@@ -128,8 +139,8 @@ def bm25(drawers: DataFrame, terms: list[str], *, scope: Column | None = None) -
     ``tf`` holds the count of each term; ``idf`` its weight and ``mean`` the average length, over all rows, whatever
     ``scope`` leaves of them. One scan makes the statistics (a single row), one the counts; nothing is exploded.
     """
-    words = T.lexical_words(F.coalesce("content", F.lit("")))
-    counted = drawers.withColumn("w", words).select(*drawers.columns, F.size("w").alias("length"), F.array(*[term_count(F.col("w"), t) for t in terms]).alias("tf"))
+    counted = held(drawers, w=T.lexical_words(F.coalesce("content", F.lit(""))))
+    counted = held(counted, length=F.size("w"), tf=F.array(*[term_count(F.col("w"), t) for t in terms])).drop("w")
     holds = [F.count_if(F.col("tf")[i] > 0).alias(f"n{i}") for i in range(len(terms))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *holds)
     idf = F.array(*[F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(len(terms))])
@@ -187,10 +198,8 @@ def scaled(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _any(values: list[str], x: Column) -> Column:
-    out = F.lit(False)
-    for v in values:
-        out = out | F.contains(x, F.lit(v))
-    return out
+    """Whether a text holds one of the values: one pass of one pattern."""
+    return x.rlike("|".join(f"\\Q{v}\\E" for v in values)) if values else F.lit(False)
 
 
 def _hits(tokens: list[str], there: Column) -> Column:
@@ -198,16 +207,41 @@ def _hits(tokens: list[str], there: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.array_contains(there, t))) if tokens else F.lit(0)
 
 
+def rerank_parts(rows: DataFrame) -> DataFrame:
+    """The rows with what both boosts look at: lower-cased texts and the words of content, body and path."""
+    source = T.ascii_lower(F.coalesce("source_file", F.lit("")))
+    text = F.coalesce("retrieval_text", "content", F.lit(""))
+    return held(
+        rows,
+        _content=T.ascii_lower(F.coalesce("content", F.lit(""))),
+        _body=T.ascii_lower(text),
+        _source=source,
+        _content_tokens=T.identifier_tokens(F.coalesce("content", F.lit(""))),
+        _body_tokens=T.identifier_tokens(text),
+        _path_tokens=T.identifier_tokens(source),
+    )
+
+
+PARTS = ("_content", "_body", "_source", "_content_tokens", "_body_tokens", "_path_tokens", "_in_content", "_in_path", "_overlap", "_path_overlap")
+
+
+def _counted(rows: DataFrame, query: str) -> DataFrame:
+    own = T.tokens_of(query)
+    found = T.concepts(own) if len(own) >= 2 else []
+    tokens, core = [*own, *(c for c in found if c not in own)], T.core_tokens(own)
+    return held(rows, _in_content=_hits(tokens, F.col("_content_tokens")), _in_path=_hits(tokens, F.col("_path_tokens")), _overlap=_hits(core, F.col("_body_tokens")), _path_overlap=_hits(core, F.col("_path_tokens")))
+
+
 def code_boost(query: str) -> Column:
     """What the rerank of code adds: names of files and paths, words and their compounds, less for generated files."""
     own = T.tokens_of(query)
     found = T.concepts(own) if len(own) >= 2 else []
     tokens = [*own, *(c for c in found if c not in own)]
     compounds = list(dict.fromkeys([*T.variants(own), *T.variants(found)]))
-    body, source = T.ascii_lower(F.coalesce("content", F.lit(""))), T.ascii_lower(F.coalesce("source_file", F.lit("")))
+    body, source = F.col("_content"), F.col("_source")
     name = F.regexp_extract(source, r"([^/\\]*)$", 1)
     compact = [v for v in compounds if not set(v) & set(" _-") and len(v.encode()) >= 6]
-    in_body, in_path = _hits(tokens, T.identifier_tokens(F.coalesce("content", F.lit("")))), _hits(tokens, T.identifier_tokens(source))
+    in_body, in_path = F.col("_in_content"), F.col("_in_path")
     out = F.when(_any(compounds, name), 0.9).when(_any(compounds, source), 0.6).otherwise(0.0)
     out = out + F.when(_any(compounds, body), 0.45).otherwise(0.0) + F.when(_any(compact, body), 0.2).otherwise(0.0)
     if tokens:
@@ -225,25 +259,29 @@ def general_boost(query: str, as_of: str | None = None) -> Column:
     """What the rerank of everything else adds: shared words, phrases, titles of documentation, preferences, and closeness in time."""
     own = T.tokens_of(query)
     core = T.core_tokens(own)
-    text = F.coalesce("retrieval_text", "content", F.lit(""))
-    low = T.ascii_lower(text)
-    overlap = _hits(core, T.identifier_tokens(text))
+    low, overlap = F.col("_body"), F.col("_overlap")
     out = F.lit(0.0)
     if core:
         out = 0.035 * F.least(overlap, F.lit(8)) + F.when(overlap >= 2, 0.12 * F.least(F.lit(1.0), overlap / len(core))).otherwise(0.0)
     phrases = [f"{a}{sep}{b}" for a, b in zip(core, core[1:]) for sep in " -"]
     out = out + F.when(_any(phrases, low), 0.08).otherwise(0.0)
-    path = _hits(core, T.identifier_tokens(T.ascii_lower(F.coalesce("source_file", F.lit("")))))
-    out = out + F.when(F.col("content_kind") == "documentation", 0.04 * F.least(path, F.lit(3))).otherwise(0.0)
+    out = out + F.when(F.col("content_kind") == "documentation", 0.04 * F.least(F.col("_path_overlap"), F.lit(3))).otherwise(0.0)
     if set(own) & set(W.PREFERENCE_WORDS):
         out = out + F.when((overlap > 0) & _any(list(W.PREFERENCE_SPANS), low), 0.18).otherwise(0.0)
     target = T.relative_date(query, as_of)
     return out if target is None else out + temporal_boost(F.col("filed_at"), target)
 
 
-def reranked(hits: DataFrame, query: str, as_of: str | None = None) -> DataFrame:
+def boosted(rows: DataFrame, query: str, as_of: str | None = None) -> DataFrame:
+    """The rows with ``boost``: the rule for code or the one for everything else."""
+    parts = _counted(rerank_parts(rows), query)
     boost = F.when(F.col("content_kind") == "code", code_boost(query)).otherwise(general_boost(query, as_of))
-    return scaled(hits.withColumn("relevance", F.col("relevance") + boost), "relevance")
+    return parts.withColumn("boost", boost).drop(*PARTS)
+
+
+def reranked(hits: DataFrame, query: str, as_of: str | None = None) -> DataFrame:
+    rows = boosted(hits, query, as_of)
+    return scaled(rows.withColumn("relevance", F.col("relevance") + F.col("boost")).drop("boost"), "relevance")
 
 
 def hybrid(drawers: DataFrame, q: Query, encode: Callable[[str], list[float]]) -> DataFrame:
@@ -284,4 +322,4 @@ def duplicates(drawers: DataFrame, content: str, encode: Callable[[str], list[fl
     return hybrid(drawers, Query(content), encode).where(F.col("score") >= threshold)
 
 
-__all__ = ["Query", "View", "bm25_topk", "cosine_topk", "dense_ranks", "dot", "duplicates", "fuse", "hybrid", "lexical_ranks", "reranked", "scaled", "shown"]
+__all__ = ["Query", "View", "bm25_topk", "cosine_topk", "dense_ranks", "duplicates", "fuse", "hybrid", "lexical_ranks", "reranked", "scaled", "shown"]

@@ -12,6 +12,7 @@ from quillstone.operators import search
 from quillstone.plans import sqltext as S
 from quillstone.plans.catalogue import query
 from quillstone.plans.sqltext import DRAWERS
+from quillstone.plans.staging import stage
 from quillstone.plans.tables import corpus, drawers, table
 
 DIM = 64
@@ -128,7 +129,7 @@ _ENCODED = f"""{DRAWERS},
 def _with_vectors(spark, folder):
     d = drawers(spark, folder)
     body = T.embedding_input(F.col("content"), F.col("retrieval_text"), F.col("source_file"), F.col("content_kind"))
-    return d.withColumn("embedding", hash_embed(body, DIM))
+    return stage(d.withColumn("embedding", hash_embed(body, DIM)), "encoded")
 
 
 def _encode(text: str) -> list[float]:
@@ -144,7 +145,7 @@ def hash_embed_drawers(spark, folder):
 
 def _dense_sql(scope: str = "true") -> str:
     parts = [
-        f"SELECT id, {i} AS view, {v.weight} AS weight, row_number() OVER (ORDER BY {S.cosine('e', _doubles(_encode(v.text)))} DESC, id DESC) AS rank FROM encoded JOIN d USING (id) WHERE {_applies(v.target)} AND {scope} QUALIFY rank <= {_K}"
+        f"SELECT id, {i} AS view, {v.weight} AS weight, row_number() OVER (ORDER BY round({S.cosine('e', _doubles(_encode(v.text)))}, 12) DESC, id DESC) AS rank FROM encoded JOIN d USING (id) WHERE {_applies(v.target)} AND {scope} QUALIFY rank <= {_K}"
         for i, v in enumerate(_DENSE)
     ]
     return " UNION ALL ".join(parts)
@@ -238,12 +239,12 @@ _PARTS = f"""parts AS (SELECT id, content_kind, filed_at, {S.ascii_lower("coales
 
 @query(f"WITH {DRAWERS}, {_PARTS} SELECT id, round({_code_sql()}, 6) AS boost FROM named WHERE content_kind = 'code'")
 def rerank_code(spark, folder):
-    return drawers(spark, folder).where("content_kind = 'code'").select("id", F.round(search.code_boost(ASK), 6).alias("boost"))
+    return drawers(spark, folder).where("content_kind = 'code'").transform(search.boosted, ASK, AS_OF).select("id", F.round("boost", 6).alias("boost"))
 
 
 @query(f"WITH {DRAWERS}, {_PARTS} SELECT id, round({_general_sql()}, 6) AS boost FROM named WHERE content_kind <> 'code'")
 def rerank_general(spark, folder):
-    return drawers(spark, folder).where("content_kind <> 'code'").select("id", F.round(search.general_boost(ASK, AS_OF), 6).alias("boost"))
+    return drawers(spark, folder).where("content_kind <> 'code'").transform(search.boosted, ASK, AS_OF).select("id", F.round("boost", 6).alias("boost"))
 
 
 @query(f"WITH {DRAWERS} SELECT id, {_temporal_sql()} AS boost FROM d")
