@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -252,3 +254,63 @@ def diary_retrieval_text(path: Column, room: Column, agent: Column, filed_at: Co
 
 def prose_retrieval_text(path: Column, chunk: Column) -> Column:
     return F.coalesce(F.concat(F.lit("kind: prose\nsource: "), path, F.lit("\nverbatim:\n"), chunk), chunk)
+
+
+_ROLES = ("user", "assistant", "system", "developer", "tool")
+
+
+def _turns(value, out: list[str]) -> None:
+    if isinstance(value, dict):
+        role, content = value.get("role"), value.get("content")
+        if role in _ROLES:
+            if isinstance(content, str):
+                said = " ".join(content.split())
+            elif isinstance(content, list):
+                parts = [p for p in content if isinstance(p, dict)]
+                said = " ".join(t for p in parts if isinstance(t := p.get("text", p.get("content")), str)) or None
+            else:
+                said = content.get("text") if isinstance(content, dict) and isinstance(content.get("text"), str) else None
+            if said is not None:
+                out.append(f"{role}: {said}")
+        value = list(value.values())
+    for inner in value if isinstance(value, list) else ():
+        _turns(inner, out)
+
+
+def turns_of(chunk: str | None) -> str:
+    """``role: text`` lines of the JSON lines of a chunk, neighbours that are equal once."""
+    out: list[str] = []
+    for line in (chunk or "").splitlines():
+        if line.lstrip()[:1] in ("{", "["):
+            try:
+                _turns(json.loads(line), out)
+            except (ValueError, RecursionError):
+                pass
+    return "\n".join(t for i, t in enumerate(out) if not i or out[i - 1] != t)
+
+
+def _all_turns(chunks):
+    return chunks.map(turns_of)
+
+
+_all_turns.__annotations__ = {"chunks": pd.Series, "return": pd.Series}
+
+
+def conversation_retrieval_text(path: Column, wing: Column, room: Column, chunk: Column) -> Column:
+    turns = F.pandas_udf(_all_turns, "string")(chunk)
+    source = F.coalesce(F.concat(F.lit("\nsource: "), path), F.lit(""))
+    roles = F.when(turns != "", F.concat(F.lit("\nroles:\n"), turns)).otherwise("")
+    return F.concat(F.lit("kind: conversation\nsession: "), wing, F.lit("/"), room, source, roles, F.lit("\nverbatim:\n"), chunk)
+
+
+def documentation_retrieval_text(path: Column, document: Column, chunk: Column) -> Column:
+    """With the document's title (its first ``# `` line, or the file's name) and the last three headings before the chunk."""
+    title = F.nullif(F.btrim(F.regexp_extract(document, r"(?m)^[ \t]*# ([^\r\n]*)", 1)), F.lit(""))
+    stem = F.nullif(F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]*)?$", 1), F.lit(""))
+    at = F.instr(document, chunk)
+    before = F.when(at > 0, F.substring(document, F.lit(1), at - 1)).otherwise(document)
+    heads = F.filter(F.transform(F.regexp_extract_all(before, F.lit(r"(?m)^[ \t]*#+([^\r\n]*)"), F.lit(1)), lambda h: F.btrim(h)), lambda h: h != "")
+    last = F.slice(heads, F.greatest(F.size(heads) - 2, F.lit(1)), F.lit(3))
+    source = F.coalesce(F.concat(F.lit("\nsource: "), path), F.lit(""))
+    headings = F.when(F.size(heads) > 0, F.concat(F.lit("\nheadings: "), F.array_join(last, " > "))).otherwise("")
+    return F.concat(F.lit("kind: documentation"), source, F.lit("\ntitle: "), F.coalesce(title, stem, F.lit("document")), headings, F.lit("\nverbatim:\n"), chunk)

@@ -1 +1,169 @@
-"""To come."""
+"""Chunking, dialect, entities and session logs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillstone.functions import text as T
+from quillstone.functions.words import LANGUAGES
+from quillstone.operators import chunking, dialect, entities
+from quillstone.plans import sqltext as S
+from quillstone.plans.catalogue import query
+from quillstone.plans.sqltext import DRAWERS
+from quillstone.plans.tables import drawers, table
+from quillstone.sources import files
+from quillstone.streaming import assembly, incremental
+
+
+@query()
+def chunk_text(spark, folder):
+    rows = table(spark, folder, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    return rows.select("doc_id", F.posexplode(chunking.chunks(F.col("text"), F.lit(None).cast("string"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.col("c.chunk").alias("chunk"))
+
+
+@query()
+def chunk_code(spark, folder):
+    return chunking.chunked(drawers(spark, folder).where("content_kind = 'code'").select("id", "source_file", "content")).select("id", "chunk_index_new", "chunk", "symbol", "enclosing")
+
+
+@query(f"""WITH {DRAWERS} SELECT id, CASE WHEN source_file IS NULL THEN NULL ELSE coalesce(list_filter([{', '.join(f"CASE WHEN list_contains({S.listed(e.split())}, ext) THEN '{n}' END" for n, e in LANGUAGES.items())}], lambda x: x IS NOT NULL)[1], NULL) END AS language,
+    CASE WHEN contains(replace(source_file, '\\', '/'), '/') THEN replace(lower(trim(string_split(replace(source_file, '\\', '/'), '/')[1])), ' ', '_') ELSE 'general' END AS room
+    FROM (SELECT *, lower(regexp_extract(source_file, '[^/\\\\]\\.([^./\\\\]+)$', 1)) AS ext FROM d)""")
+def file_routing(spark, folder):
+    return drawers(spark, folder).select("id", T.language(F.col("source_file")).alias("language"), T.room_of_path(F.col("source_file")).alias("room"))
+
+
+@query(f"""WITH {DRAWERS}, p AS (SELECT id, string_split(replace(source_file, '\\', '/'), '/') AS parts, lower(regexp_extract(source_file, '[^/\\\\](\\.[^./\\\\]+)$', 1)) AS ext FROM d WHERE source_file IS NOT NULL)
+    SELECT id, len(list_filter(parts[1:len(parts) - 1], lambda x: list_contains({S.listed(files.SKIPPED_FOLDERS)}, x) OR ends_with(x, '.egg-info'))) > 0 AS pruned,
+        list_contains({S.listed([f'.{e}' for e in files.BINARY])}, ext) OR list_contains({S.listed(files.SKIPPED_NAMES)}, parts[-1]) AS skipped,
+        list_contains({S.listed([f'.{e}' for e in files.DATA])}, ext) AND len(list_filter(parts, lambda x: list_contains({S.listed(files.DATA_FOLDERS)}, lower(x)))) > 0 AS noisy FROM p""")
+def file_filters(spark, folder):
+    rows = drawers(spark, folder).where("source_file is not null").withColumn("p", F.replace("source_file", F.lit("\\"), F.lit("/")))
+    return rows.select("id", files.in_skipped_folder(F.col("p")).alias("pruned"), files.skipped_name(F.col("p")).alias("skipped"), files.noisy_data(F.col("p"), F.lit(0)).alias("noisy"))
+
+
+@query()
+def retrieval_texts(spark, folder):
+    d = drawers(spark, folder).where("content is not null")
+    kind, path = F.col("content_kind"), F.col("source_file")
+    code = T.code_retrieval_text(path, T.language(path), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("content"))
+    diary = T.diary_retrieval_text(path, F.col("room"), F.coalesce("added_by", F.lit("unknown")), F.col("filed_at"), F.col("content"))
+    text = F.when(kind == "code", code).when(kind == "diary", diary).when(kind == "conversation", T.conversation_retrieval_text(path, F.col("wing"), F.col("room"), F.col("content")))
+    text = text.when(kind == "documentation", T.documentation_retrieval_text(path, F.col("content"), F.col("content"))).otherwise(T.prose_retrieval_text(path, F.col("content")))
+    return d.select("id", text.alias("retrieval_text"))
+
+
+def _signal_sql(hints) -> str:
+    cases = ", ".join(f"CASE WHEN contains(lower(text), {S.quoted(h)}) THEN '{c}' END" for h, c in hints)
+    return f"array_to_string((SELECT list(c ORDER BY i) FROM (SELECT c, min(i) AS i FROM (SELECT unnest([{cases}]) AS c, unnest(range(0, {len(hints)})) AS i) WHERE c IS NOT NULL GROUP BY c))[1:3], '+')"
+
+
+_DOCS = "docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)"
+
+
+def _docs(spark, folder):
+    return table(spark, folder, "documents").where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, coalesce({_signal_sql(dialect.MOOD_HINTS)}, '') AS moods, coalesce({_signal_sql(dialect.FLAG_HINTS)}, '') AS flags FROM docs")
+def signals(spark, folder):
+    return _docs(spark, folder).select("doc_id", F.array_join(dialect.signals(F.col("text"), dialect.MOOD_HINTS), "+").alias("moods"), F.array_join(dialect.signals(F.col("text"), dialect.FLAG_HINTS), "+").alias("flags"))
+
+
+_POINTS = " + ".join(f"CASE WHEN contains(lower(s), '{w}') THEN 2 ELSE 0 END" for w in dialect.DECISION_WORDS)
+
+
+@query(f"""WITH {_DOCS}, s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\\n]')), E' \\t\\r\\n') AS s, unnest(range(0, len(regexp_split_to_array(text, '[.!?\\n]')))) AS i FROM docs),
+    p AS (SELECT doc_id, s, i, {_POINTS} + CASE WHEN strlen(s) < 80 THEN 1 ELSE 0 END + CASE WHEN strlen(s) < 40 THEN 1 ELSE 0 END - CASE WHEN strlen(s) > 150 THEN 2 ELSE 0 END AS points FROM s WHERE strlen(s) > 10),
+    b AS (SELECT doc_id, s FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, i) = 1)
+    SELECT doc_id, CASE WHEN length(coalesce(s, '')) > 55 THEN left(s, 52) || '...' ELSE coalesce(s, '') END AS sentence FROM docs LEFT JOIN b USING (doc_id)""")
+def key_sentence(spark, folder):
+    return _docs(spark, folder).select("doc_id", dialect.key_sentence(F.col("text")).alias("sentence"))
+
+
+@query(f"""WITH {_DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_-]+')) AS w FROM docs),
+    c AS (SELECT doc_id, lower(w) AS topic, sum(CASE WHEN length(w) >= 3 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(w, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS weight
+          FROM w WHERE regexp_matches(w, '^[A-Za-z]') AND NOT list_contains({S.listed(dialect.STOPWORDS)}, lower(w)) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, topic) AS n FROM c WHERE weight > 0)
+    SELECT doc_id, string_agg(topic, '_' ORDER BY n) AS topics FROM r WHERE n <= 3 GROUP BY doc_id""")
+def topics(spark, folder):
+    return dialect.topics(_docs(spark, folder), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, greatest(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3), 1)::INT AS tokens, strlen(text)::INT AS bytes FROM docs")
+def token_stats(spark, folder):
+    return _docs(spark, folder).select("doc_id", dialect.token_estimate(F.col("text")).alias("tokens"), F.octet_length("text").alias("bytes"))
+
+
+@query()
+def compress(spark, folder):
+    return dialect.compressed(drawers(spark, folder))
+
+
+@query()
+def compress_totals(spark, folder):
+    return dialect.totals(dialect.compressed(drawers(spark, folder)))
+
+
+@query()
+def dialect_decode(spark, folder):
+    rows = dialect.compressed(drawers(spark, folder)).select("id", dialect.decoded(F.col("dialect")).alias("d"))
+    return rows.select("id", F.col("d.header").alias("header"), F.size("d.entries").alias("entries"), F.size("d.tunnels").alias("tunnels"), F.col("d.arc").alias("arc"))
+
+
+#: Word boundaries are ASCII's in DuckDB: letters beyond it become ``_``, other signs beyond it ``.``.
+_PLAIN = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}]', '.', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+_RUNS = f"regexp_extract_all({_PLAIN}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b')"
+_STOP = S.listed(entities.STOPWORDS)
+
+
+@query(f"""WITH {_DOCS}, n AS (SELECT unnest(list_concat(list_filter(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-z]{{1,19}}\\b'), lambda w: NOT list_contains({_STOP}, lower(w))),
+        list_filter({_RUNS}, lambda r: NOT list_has_any(regexp_split_to_array(lower(r), '\\s+'), {_STOP})))) AS name FROM docs)
+    SELECT name, count(*) AS frequency FROM n GROUP BY name HAVING count(*) >= 3""")
+def entity_candidates(spark, folder):
+    return entities.candidates(_docs(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query()
+def entity_classify(spark, folder):
+    return entities.detected(_docs(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query(f"""WITH {_DOCS}, l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line, unnest(range(0, len(regexp_split_to_array(text, '\\r?\\n')))) AS no FROM docs),
+    w AS (SELECT doc_id, no, max(regexp_matches(line, '(?i)\\b(?:she|hers?|he|him|his|they|them|their)\\b')::INT) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l)
+    SELECT doc_id, sum(near)::BIGINT AS near_lines, count(*) AS lines FROM w GROUP BY doc_id""")
+def pronoun_window(spark, folder):
+    from pyspark.sql import Window
+
+    rows = _docs(spark, folder).select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line"))
+    near = F.max(F.col("line").rlike(entities.PRONOUNS).cast("int")).over(Window.partitionBy("doc_id").orderBy("no").rowsBetween(-2, 2))
+    return rows.select("doc_id", near.alias("near")).groupBy("doc_id").agg(F.sum("near").alias("near_lines"), F.count("*").alias("lines"))
+
+
+def _lines(spark, folder):
+    records = incremental.latest_records(table(spark, folder, "session_records")).where("has_newline")
+    files_ = incremental.listed_files(table(spark, folder, "session_files"))
+    return records.join(files_.select("adapter", "source_key", "source_path"), ["adapter", "source_key"])
+
+
+@query()
+def session_exchanges(spark, folder):
+    return assembly.exchanges(_lines(spark, folder))
+
+
+@query()
+def session_drawers(spark, folder):
+    return assembly.as_drawers(assembly.exchanges(_lines(spark, folder)), "sessions")
+
+
+@query("""WITH r AS (SELECT * FROM session_records QUALIFY row_number() OVER (PARTITION BY adapter, source_key, start_byte ORDER BY read_at DESC) = 1),
+    f AS (SELECT DISTINCT adapter, source_key FROM session_files)
+    SELECT adapter, count(*) AS files, sum(lines)::BIGINT AS lines, sum(held)::BIGINT AS held_back, sum(blank)::BIGINT AS blank FROM (
+        SELECT adapter, source_key, count(*) AS lines, count(*) FILTER (NOT has_newline) AS held, count(*) FILTER (has_newline AND trim(raw_line, E' \\t\\r\\n') = '') AS blank FROM r JOIN f USING (adapter, source_key) GROUP BY ALL) GROUP BY adapter""")
+def sync_report(spark, folder):
+    records = incremental.latest_records(table(spark, folder, "session_records"))
+    files_ = incremental.listed_files(table(spark, folder, "session_files")).select("adapter", "source_key")
+    per_file = records.join(files_, ["adapter", "source_key"]).groupBy("adapter", "source_key").agg(
+        F.count("*").alias("lines"), F.count_if(~F.col("has_newline")).alias("held"), F.count_if(F.col("has_newline") & (F.btrim("raw_line", F.lit(" \t\r\n")) == "")).alias("blank")
+    )
+    return per_file.groupBy("adapter").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sum("held").alias("held_back"), F.sum("blank").alias("blank"))

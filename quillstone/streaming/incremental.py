@@ -10,7 +10,6 @@ left to do. Two runs on the same version can't both publish: the second rename f
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.fingerprint import TAIL, fnv1a_hex
 from quillstone.plans.staging import stage
+from quillstone.sources.manifest import Manifests
 
 FILE = ["adapter", "source_key"]
 STATE = "adapter string, source_key string, source_path string, file_size long, modified_ns long, byte_offset long, fingerprint string"
@@ -110,27 +110,16 @@ class Target:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        self._manifests = Manifests(spark, path)
 
     def version(self) -> int:
-        if not self._fs.exists(self._path("")):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        return max([int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")], default=0)
+        return self._manifests.version()
 
     def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "rows": [], "state": None}
-        (line,) = self.spark.read.text(f"{self.path}/manifest-{version:012d}.json", wholetext=True).collect()
-        return json.loads(line[0])
+        return {"rows": [], "state": None} | self._manifests.read(version)
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """All rows up to a version. A file that was replaced has rows of several versions; ``current_rows`` leaves out the old ones."""
+        """All rows up to a version. A file that was replaced has rows of several versions."""
         paths = self.manifest(version)["rows"]
         return self.spark.read.schema(DONE).parquet(*[f"{self.path}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], DONE)
 
@@ -138,15 +127,6 @@ class Target:
         path = self.manifest(version)["state"]
         return self.spark.read.schema(STATE).parquet(f"{self.path}/{path}") if path else self.spark.createDataFrame([], STATE)
 
-    def _publish(self, manifest: dict) -> None:
-        temporary = self._path(f"_new-{uuid.uuid4().hex}")
-        out = self._fs.create(temporary, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temporary.toUri() if temporary.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(self._fs.makeQualified(temporary), self._fs.makeQualified(self._path(f"manifest-{manifest['version']:012d}.json")), none)
-
     def run(self, files: DataFrame, records: DataFrame, *, fail_before_publish: bool = False) -> int:
         """One run: the pending records become rows of the next version, together with the new checkpoints. Returns the version.
 
@@ -163,5 +143,4 @@ class Target:
         if fail_before_publish:
             raise RuntimeError("failed before publishing")
         manifest = {"version": old["version"] + 1, "rows": [*old["rows"], f"rows-{name}"], "state": f"state-{name}"}
-        self._publish(manifest)
-        return manifest["version"]
+        return self._manifests.publish(manifest)
