@@ -36,7 +36,7 @@ def boundaries(data: bytes, limit: int) -> tuple[np.ndarray, np.ndarray]:
     at = sorted(cost)
     out: list[int] = []
     last = 0
-    reach = max(limit // 2, 1)  # so that overlap and a stretch between boundaries fit a piece together
+    reach = max(limit // 2, min(limit, 4))  # so that overlap and a stretch between boundaries fit a piece together, and any character fits
     for p in at:
         while p - last > reach:
             cut = last + reach
