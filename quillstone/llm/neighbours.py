@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS, WINDOW, BLOCK, SEED = 6, 64, 96, 384, 20240229
+TREES, BITS, WINDOW, BLOCK, SEED = 6, 64, 256, 384, 20240229
 
 
 def usable(vec: str, dim: int) -> F.Column:
@@ -41,7 +41,7 @@ def _hash_rows(dim: int, trees: int, seed: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0)
+            ids, asks = batch.column(0), batch.column(2)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
             scale = np.abs(x).max(axis=1, keepdims=True)  # against overflow in the projections
             signs = ((x / scale) @ planes) > 0
@@ -49,7 +49,7 @@ def _hash_rows(dim: int, trees: int, seed: int):
             for t in range(trees):
                 packed = np.packbits(signs[:, t * BITS : (t + 1) * BITS], axis=1).view(">u8").ravel()
                 ordered = (packed.astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(ordered), ids, raw], ["tree", "prefix", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(ordered), ids, raw, asks], ["tree", "prefix", "id", "vec", "asks"])
 
     return run
 
@@ -63,17 +63,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _scan(dim: int, k: int, window: int, least: float):
     schema = pa.schema([("id", pa.string()), ("neighbour", pa.string()), ("cosine", pa.float64())])
 
-    def block(tree, ids, x, lo: int, hi: int) -> pa.RecordBatch:
-        """The best k of each row lo..hi among the rows within the window around the block."""
+    def block(tree, ids, x, asks, lo: int, hi: int) -> pa.RecordBatch:
+        """The best k of each asking row of lo..hi among the rows within the window around the block."""
         a, b = max(0, lo - window), min(len(x), hi + window)
-        near = x[lo:hi].astype(np.float32) @ x[a:b].astype(np.float32).T
-        near[tree[lo:hi, None] != tree[None, a:b]] = -2
-        near[ids[lo:hi, None] == ids[None, a:b]] = -2
+        own = np.flatnonzero(asks[lo:hi]) + lo
+        near = x[own].astype(np.float32) @ x[a:b].astype(np.float32).T
+        near[tree[own, None] != tree[None, a:b]] = -2
+        near[ids[own, None] == ids[None, a:b]] = -2
         rows = np.flatnonzero((near >= least - 1e-4).any(axis=1))
         near = near[rows]
         take = min(k, near.shape[1])
         best = np.argpartition(near, near.shape[1] - take, axis=1)[:, near.shape[1] - take :]
-        i, j = np.repeat(rows + lo, take), best.ravel() + a
+        i, j = np.repeat(own[rows], take), best.ravel() + a
         kept = np.take_along_axis(near, best, 1).ravel() >= max(least - 1e-4, -1.5)
         i, j = i[kept], j[kept]
         exact = np.einsum("ij,ij->i", x[i], x[j])
@@ -81,7 +82,7 @@ def _scan(dim: int, k: int, window: int, least: float):
         return pa.RecordBatch.from_arrays([pa.array(ids[i[fine]], pa.string()), pa.array(ids[j[fine]], pa.string()), pa.array(np.clip(exact[fine], -1.0, 1.0))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, ids, x = np.zeros(0, np.int32), np.zeros(0, object), np.zeros((0, dim))
+        tree, ids, x, asks = np.zeros(0, np.int32), np.zeros(0, object), np.zeros((0, dim)), np.zeros(0, bool)
         done, last = 0, None
         for batch in batches:
             if not batch.num_rows:
@@ -94,23 +95,28 @@ def _scan(dim: int, k: int, window: int, least: float):
             fresh = np.array([p != q for p, q in zip(key, [last, *key[:-1]])])
             last = key[-1]
             tree, ids, x = np.concatenate([tree, t[fresh]]), np.concatenate([ids, new[fresh]]), np.concatenate([x, _unit(v[fresh])])
+            asks = np.concatenate([asks, np.asarray(batch.column(4).to_pylist(), bool)[fresh]])
             while done + BLOCK + window <= len(x):
-                yield block(tree, ids, x, done, done + BLOCK)
+                yield block(tree, ids, x, asks, done, done + BLOCK)
                 done += BLOCK
             cut = max(0, done - window)
-            tree, ids, x, done = tree[cut:], ids[cut:], x[cut:], done - cut
+            tree, ids, x, asks, done = tree[cut:], ids[cut:], x[cut:], asks[cut:], done - cut
         while done < len(x):
-            yield block(tree, ids, x, done, min(len(x), done + BLOCK))
+            yield block(tree, ids, x, asks, done, min(len(x), done + BLOCK))
             done += BLOCK
 
     return run
 
 
-def most_similar(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", *, dim: int = 64, k: int = 5, min_cosine: float = -1.0, trees: int = TREES, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", *, dim: int = 64, k: int = 5, min_cosine: float = -1.0, trees: int = TREES, window: int = WINDOW, seed: int = SEED, queries: Column | None = None, partition_rows: int | None = None) -> DataFrame:
     """``id, neighbour, cosine, rank``: the k rows with the highest cosine for every row that has a usable vector.
 
     * A vector that is null, not of ``dim`` elements, all zero or not finite takes no part; neither does a null id.
     * A repeated row counts once. An id with several vectors has the neighbours of all of them; it is never its own.
+    * ``queries``, a condition on the input's columns, asks for the neighbours of the rows where it holds only; all rows
+      are searched. Its cost is then that of the sorted arrays and of the asking rows' windows, which can be wider.
+    * ``partition_rows`` is the number of rows of a tree that one task holds; unset, it follows the session's partition
+      size. It should be a few times ``window``, since a window ends at the partition's edge.
     * ``min_cosine`` leaves out neighbours below it; the ranks of the others stay what they are.
     * Equal cosines rank by the smaller neighbour id among the candidates; which members of a tie wider than the
       window are candidates is not fixed.
@@ -118,9 +124,11 @@ def most_similar(df: DataFrame, id_col: str = "id", vec_col: str = "embedding",
 
     Approximate: the share of true neighbours found depends on ``trees`` and ``window``; cosines are exact.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & usable("vec", dim))
-    hashes = rows.mapInArrow(_hash_rows(dim, trees, seed), "tree int, prefix long, id string, vec binary")
-    forest = hashes.repartitionByRange("tree", "prefix", "id").sortWithinPartitions("tree", "prefix", "id")
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.coalesce(F.lit(True) if queries is None else queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable("vec", dim))
+    hashes = rows.mapInArrow(_hash_rows(dim, trees, seed), "tree int, prefix long, id string, vec binary, asks boolean")
+    keys = ("tree", "prefix", "id")
+    parts = () if partition_rows is None else (max(1, -(-df.count() * trees // partition_rows)),)
+    forest = hashes.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys)
     found = forest.mapInArrow(_scan(dim, k, window, min_cosine), "id string, neighbour string, cosine double")
     pairs = found.groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
