@@ -124,13 +124,24 @@ def dense_ranks(drawers: DataFrame, views: list[tuple[View, list[float]]], k: in
     return rows.select("id", "s.view", "s.weight", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "view", "weight", "rank")
 
 
-def term_count(words: Column, term: str) -> Column:
-    """How often a term occurs: words that begin with it, or its two words in a row."""
+def _begun(text: Column, terms: list[str]) -> Column:
+    """The words of a lower-cased text that begin with one of the prefix terms, found in one pass."""
+    heads = "|".join(f"\\Q{t[:-1]}\\E" for t in terms if t.endswith("*"))
+    if not heads:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{heads})[\p{{L}}\p{{N}}]*"), F.lit(0))
+
+
+def _count(text: Column, begun: Column, term: str) -> Column:
     if term.endswith("*"):
-        return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(term[:-1]))))
+        return F.size(F.filter(begun, lambda w: F.startswith(w, F.lit(term[:-1]))))
     a, b = term.split(" ")
-    pairs = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
-    return F.size(F.filter(pairs, lambda p: (p["a"] == a) & F.coalesce(p["b"] == b, F.lit(False))))
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{a}\E(?=[^\p{{L}}\p{{N}}]+\Q{b}\E(?![\p{{L}}\p{{N}}]))"))
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a term occurs in a lower-cased text: words that begin with it, or its two words in a row."""
+    return _count(text, _begun(text, [term]), term)
 
 
 def bm25(drawers: DataFrame, terms: list[str], *, scope: Column | None = None) -> DataFrame:
@@ -139,8 +150,9 @@ def bm25(drawers: DataFrame, terms: list[str], *, scope: Column | None = None) -
     ``tf`` holds the count of each term; ``idf`` its weight and ``mean`` the average length, over all rows, whatever
     ``scope`` leaves of them. One scan makes the statistics (a single row), one the counts; nothing is exploded.
     """
-    counted = held(drawers, w=T.lexical_words(F.coalesce("content", F.lit(""))))
-    counted = held(counted, length=F.size("w"), tf=F.array(*[term_count(F.col("w"), t) for t in terms])).drop("w")
+    counted = held(drawers, _low=F.lower(F.coalesce("content", F.lit(""))))
+    counted = held(counted, length=F.size(T.lexical_words(F.col("_low"))), _begun=_begun(F.col("_low"), terms))
+    counted = held(counted, tf=F.array(*[_count(F.col("_low"), F.col("_begun"), t) for t in terms])).drop("_low", "_begun")
     holds = [F.count_if(F.col("tf")[i] > 0).alias(f"n{i}") for i in range(len(terms))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *holds)
     idf = F.array(*[F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(len(terms))])
@@ -190,11 +202,15 @@ def fuse(*ranks: DataFrame) -> DataFrame:
 
 
 def scaled(rows: DataFrame, column: str) -> DataFrame:
-    """A column divided by its largest finite value, within 0 and 1; unchanged where that isn't positive."""
+    """A column divided by its largest finite value, within 0 and 1; unchanged where that isn't positive.
+
+    For the fused candidates of one query: at most one row for each view and rank, 57,344 in all, so that one window
+    may hold them.
+    """
     finite = F.when(~F.isnan(column) & (F.abs(column) != float("inf")), F.col(column))
-    top = rows.agg(F.greatest(F.coalesce(F.max(finite), F.lit(0.0)), F.lit(0.0)).alias("_top"))
+    top = F.greatest(F.coalesce(F.max(finite).over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0))
     value = F.when(F.col("_top") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(column) / F.col("_top")))).otherwise(F.col(column))
-    return rows.crossJoin(F.broadcast(top)).withColumn(column, value).drop("_top")
+    return rows.withColumn("_top", top).withColumn(column, value).drop("_top")
 
 
 def _any(values: list[str], x: Column) -> Column:
@@ -298,13 +314,13 @@ def hybrid(drawers: DataFrame, q: Query, encode: Callable[[str], list[float]]) -
     ranks = [dense_ranks(scoped(drawers, q.wing, q.room), encoded, k)]
     if lexical:
         ranks.append(lexical_ranks(drawers, lexical, k, q.wing, q.room))
-    fused = fuse(*ranks)
+    fused = scaled(fuse(*ranks).withColumnRenamed("fused", "relevance"), "relevance")
     # at most one row for each view and rank: seven views of at most 8,192 rows
-    hits = drawers.join(F.broadcast(fused), "id").withColumnRenamed("fused", "relevance")
+    hits = drawers.join(F.broadcast(fused), "id")
     first = encoded[0][1]
     fine = (F.size("embedding") == len(first)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
     hits = hits.withColumn("score", F.when(fine, cosine(F.when(fine, F.col("embedding")), _vector(first))))
-    hits = reranked(scaled(hits, "relevance"), q.query, q.as_of)
+    hits = reranked(hits, q.query, q.as_of)
     if q.min_score is not None:
         hits = hits.where(F.col("score") >= q.min_score)
     return hits.orderBy(F.desc("relevance"), F.desc_nulls_last("score"), "id").limit(limit)

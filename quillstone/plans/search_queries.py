@@ -90,7 +90,7 @@ def bm25_filtered_global_stats(spark, folder):
 
 @query(f"WITH {DRAWERS} SELECT id, {S.term_count('next step')}::INT AS n FROM (SELECT id, {S.lexical('content')} AS w FROM d) WHERE n > 0")
 def phrase_match(spark, folder):
-    return drawers(spark, folder).select("id", search.term_count(T.lexical_words(F.coalesce("content", F.lit(""))), "next step").alias("n")).where("n > 0")
+    return drawers(spark, folder).select("id", search.term_count(F.lower(F.coalesce("content", F.lit(""))), "next step").alias("n")).where("n > 0")
 
 
 # --- hybrid search: the same views in SQL, whose texts and weights are fixed by the query ---

@@ -1,6 +1,6 @@
 """Drawers in versions of parquet folders: every change is a new version, published whole or not at all.
 
-A version is a list of data folders, partitioned by wing. Inserts add a folder; deletes
+A version is a list of data folders, each sorted by wing. Inserts add a folder; deletes
 and upserts rewrite. Readers of a version are never disturbed by later ones.
 """
 
@@ -72,7 +72,8 @@ class Store:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"data-{uuid.uuid4().hex}"
-        rows.select(*COLUMNS).write.partitionBy("wing").parquet(f"{self.path}/{name}")
+        # wings are kept together and sorted, so that a scan of one skips the row groups of others; large ones are split
+        rows.select(*COLUMNS).hint("rebalance", "wing").sortWithinPartitions("wing", "room", "id").write.parquet(f"{self.path}/{name}")
         return name
 
     def _publish(self, old: dict, data: list[str], **more) -> int:
