@@ -76,6 +76,18 @@ _SETS = r"""
     sizes AS (SELECT id, count(*) AS n FROM sh GROUP BY id)
 """
 
+_OVERLAPS = r"""
+        WITH q AS (SELECT DISTINCT u.id AS id, u.text AS t, lower(trim(u.split)) AS split FROM (SELECT unnest(queries) AS u FROM multi_domain_queries)),
+        w AS (SELECT DISTINCT id, split, t, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS word FROM q WHERE id IS NOT NULL AND t IS NOT NULL AND split IN ('train', 'dev', 'held_out')),
+        n AS (SELECT id, split, t, count(*) AS n FROM w GROUP BY ALL),
+        shared AS (
+            SELECT a.id AS x, b.id AS y, a.split AS xs, b.split AS ys, a.t AS xt, b.t AS yt, count(*) AS k FROM w a JOIN w b ON a.word = b.word AND a.split = 'train' AND b.split <> 'train' AND a.id <> b.id
+            GROUP BY ALL)
+        SELECT DISTINCT least(x, y) AS query_id_a, greatest(x, y) AS query_id_b
+        FROM shared JOIN n a ON a.id = x AND a.split = xs AND a.t = xt JOIN n b ON b.id = y AND b.split = ys AND b.t = yt
+        WHERE k >= 0.65 * (a.n + b.n - k)
+    """
+
 SQL: dict[str, str] = {
     "p1_found": """
         WITH v AS (
@@ -87,16 +99,12 @@ SQL: dict[str, str] = {
         best AS (SELECT id, neighbour, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour) AS r FROM near)
         SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best WHERE r <= 5 AND c >= 0.9
     """,
-    "p2_found": r"""
-        WITH q AS (SELECT DISTINCT u.id AS id, u.text AS t, lower(trim(u.split)) AS split FROM (SELECT unnest(queries) AS u FROM multi_domain_queries)),
-        w AS (SELECT DISTINCT id, split, t, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS word FROM q WHERE id IS NOT NULL AND t IS NOT NULL AND split IN ('train', 'dev', 'held_out')),
-        n AS (SELECT id, split, t, count(*) AS n FROM w GROUP BY ALL),
-        shared AS (
-            SELECT a.id AS x, b.id AS y, a.split AS xs, b.split AS ys, a.t AS xt, b.t AS yt, count(*) AS k FROM w a JOIN w b ON a.word = b.word AND a.split = 'train' AND b.split <> 'train' AND a.id <> b.id
-            GROUP BY ALL)
-        SELECT DISTINCT least(x, y) AS query_id_a, greatest(x, y) AS query_id_b
-        FROM shared JOIN n a ON a.id = x AND a.split = xs AND a.t = xt JOIN n b ON b.id = y AND b.split = ys AND b.t = yt
-        WHERE k >= 0.65 * (a.n + b.n - k)
+    "p2_found": _OVERLAPS,
+    "p2_report": f"""
+        WITH found AS ({_OVERLAPS}),
+        hit AS (SELECT query_id_a AS id FROM found UNION SELECT query_id_b FROM found),
+        own AS (SELECT DISTINCT u.id AS id, lower(trim(u.split)) AS split, domain, source_file FROM (SELECT unnest(queries) AS u, domain, source_file FROM multi_domain_queries) WHERE u.id IS NOT NULL)
+        SELECT split, domain, source_file, count(*) AS queries, count(hit.id) AS overlapping FROM own LEFT JOIN hit USING (id) WHERE split IN ('dev', 'held_out') GROUP BY ALL
     """,
     "p3_found": r"""
         SELECT DISTINCT id FROM drawers
@@ -107,6 +115,17 @@ SQL: dict[str, str] = {
         shared AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
         SELECT x AS id_a, y AS id_b FROM shared JOIN sizes a ON a.id = x JOIN sizes b ON b.id = y WHERE k >= 0.6 * (a.n + b.n - k)
     """,
+    "p4_groups": f"""
+        WITH RECURSIVE {_SETS},
+        c AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS cls FROM sh GROUP BY id),
+        classes AS (SELECT cls, min(id) AS rep, count(*) AS copies FROM c GROUP BY cls),
+        one AS (SELECT cls, s, n FROM classes JOIN sh ON sh.id = rep JOIN sizes ON sizes.id = rep),
+        pairs AS (SELECT a.cls AS x, b.cls AS y FROM one a JOIN one b ON a.s = b.s AND a.cls <> b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING count(*) >= 0.6 * (a.n + b.n - count(*))),
+        reach AS (SELECT cls AS x, cls AS y FROM classes UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x),
+        named AS (SELECT x, min(rep) AS group_id FROM reach JOIN classes ON reach.y = classes.cls GROUP BY x),
+        links AS (SELECT x, count(*) AS links FROM pairs GROUP BY x)
+        SELECT id, group_id, copies, coalesce(links, 0) AS links FROM c JOIN classes USING (cls) JOIN named ON named.x = cls LEFT JOIN links ON links.x = cls
+    """,
     "p7_found": r"""
         WITH items AS (SELECT DISTINCT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM benchmark_items WHERE item_id IS NOT NULL),
         docs AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
