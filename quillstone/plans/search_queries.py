@@ -269,7 +269,12 @@ def hybrid_min_score(spark, folder):
     return hits.select("id", F.round("relevance", 6).alias("relevance"))
 
 
-@query()
+_WING = f"wing = '{WING}'"
+_FUSED_WING = f"fused AS (SELECT id, sum(weight / (60 + rank)) AS fused FROM ({_dense_sql(_WING)} UNION ALL {_lexical_sql(_WING)}) GROUP BY id)"
+
+
+@query(f"""WITH {_HITS.replace(_FUSED, _FUSED_WING)} SELECT content AS text, wing, room, content_kind, coalesce(regexp_extract(source_file, '([^/\\\\]*)$', 1), '?') AS source_file, round(relevance, 3) AS relevance, round(score, 3) AS similarity
+    FROM hits JOIN d USING (id) ORDER BY hits.relevance DESC, score DESC, id LIMIT 10""")
 def hybrid_wing(spark, folder):
     return search.shown(search.hybrid(_with_vectors(spark, folder), search.Query(ASK, limit=10, as_of=AS_OF, wing=WING), _encode))
 

@@ -34,7 +34,14 @@ def p5_found(spark, folder):
     return incremental.pending(*_sync(spark, folder)).select("adapter", "source_key", "start_byte")
 
 
-@query()
+@query("""WITH r AS (SELECT * FROM session_records QUALIFY row_number() OVER (PARTITION BY adapter, source_key, start_byte ORDER BY read_at DESC) = 1),
+    f AS (SELECT DISTINCT adapter, source_key, source_path, file_size, modified_ns FROM session_files),
+    ends AS (SELECT adapter, source_key, max(start_byte + strlen(raw_line) + 1) AS byte_offset FROM r WHERE has_newline GROUP BY ALL),
+    c AS (SELECT f.*, least(coalesce(byte_offset, 0), file_size) AS byte_offset FROM f LEFT JOIN ends USING (adapter, source_key)),
+    whole AS (SELECT adapter, source_key, hex(encode(string_agg(raw_line || CASE WHEN has_newline THEN chr(10) ELSE '' END, '' ORDER BY start_byte))) AS h FROM r GROUP BY ALL)
+    SELECT c.adapter, c.source_key, source_path, file_size, modified_ns, byte_offset, lpad(lower(to_hex(coalesce(list_reduce(list_transform(range(greatest(byte_offset - 4096, 0), byte_offset),
+        lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT::HUGEINT), lambda s, x: (xor(s, x) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT), 14695981039346656037)::UBIGINT)), 16, '0') AS fingerprint
+    FROM c LEFT JOIN whole USING (adapter, source_key)""")
 def p5_checkpoints(spark, folder):
     files, records, _ = _sync(spark, folder)
     return incremental.new_checkpoints(files, records)
