@@ -1,11 +1,10 @@
 """Records of evaluation splits that occur again in the training split: an exact bipartite similarity join.
 
-Tokens of every record are ordered by how many records hold them, rarest first. Two sets
-with intersection / union of at least ``least`` share a token among the first
-``n - ceil(least * n) + 1`` of each. Prefixes of the evaluation side are indexed by token,
-prefixes of the training side probe them; lengths and positions rule out pairs before
-their sets are compared. Records with equal sets are one class on each side, so a text
-that is a third of all rows is joined once.
+Words of every record are ordered by how many records hold them, rarest first. Two sets
+with intersection / union of at least ``least`` share words among the first few of each:
+prefixes of the evaluation side are indexed, prefixes of the training side probe them,
+lengths rule out pairs, and what is left is compared word by word. Records with equal sets
+are one class on each side, so a text that is a third of all rows is joined once.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = "[\\p{L}\\p{N}]+"
-EVALUATION, WHOLE = ("dev", "held_out"), 50
+EVALUATION, WHOLE, PAIRED = ("dev", "held_out"), 50, 64
 
 
 def word_set(text: F.Column) -> F.Column:
@@ -32,30 +31,46 @@ def exploded_queries(corpus: DataFrame) -> DataFrame:
     return q.select(F.col("q.id").alias("query_id"), F.col("q.text").alias("text"), split_name(F.col("q.split")).alias("split"), "domain", "source_file").distinct()
 
 
-def _prefixes(classes: DataFrame, least: float) -> DataFrame:
-    """``side, cls, n, words, pos, word``: the prefix words of each class, the rarest first."""
+def _keys(classes: DataFrame, least: float) -> DataFrame:
+    """``side, cls, n, key``: what two similar classes are sure to share at least once.
+
+    With ``k`` more words than the plain prefix has (``n - ceil(least * n) + k``), two sets that need an overlap of
+    ``k`` share ``k`` prefix words. Keys are the pairs of such words for sets of up to ``PAIRED`` words: two words are
+    far rarer together than apart, and a fixed vocabulary makes single words as frequent as the table is long. Larger
+    sets have rare words of their own; their keys, and those of sets that need an overlap of one only, are single
+    words. A set near the limit has both, since its partner may be on the other side of it.
+    """
     rows = classes.select("side", "cls", F.explode("words").alias("word"))
     often = rows.groupBy("word").agg(F.count("*").alias("often"))
     ordered = rows.join(often, "word").groupBy("side", "cls").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
-    words = ordered.select("side", "cls", F.size("w").alias("n"), F.col("w.word").alias("words"))
-    keep = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    return words.select("side", "cls", "n", "words", F.posexplode(F.slice("words", F.lit(1), keep.cast("int"))).alias("pos", "word"))
+    sets = ordered.select("side", "cls", F.size("w").alias("n"), F.transform("w.word", lambda x: F.xxhash64(x)).alias("w"))
+    t, n = F.lit(least), F.col("n")
+    plain = n - F.ceil(t * n - 1e-9)
+    smallest = F.ceil(t / (1 + t) * (n + F.ceil(t * n - 1e-9)) - 1e-9)
+    one = F.when((n >= PAIRED * t) | (smallest < 2), F.slice("w", F.lit(1), (plain + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    sets = sets.withColumn("p", F.slice("w", F.lit(1), F.least(plain + 2, n).cast("int")))
+    behind = lambda x, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda y: F.xxhash64(x, y))
+    two = F.when((n <= PAIRED) & (n >= 2), F.flatten(F.transform("p", behind))).otherwise(F.array().cast("array<bigint>"))
+    return sets.select("side", "cls", "n", F.explode(F.concat(one, two)).alias("key"))
 
 
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
-    """``cls_a, cls_b, similarity`` between the classes of side ``train`` and of side ``eval``."""
-    p = _prefixes(classes, least)
-    a = p.where("side = 'train'").select("word", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("words").alias("words_a"))
-    b = p.where("side = 'eval'").select("word", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("words").alias("words_b"))
+    """``cls_a, cls_b, similarity`` between the classes of side ``train`` and of side ``eval``.
+
+    Keys are hashes: equal ones only propose a pair, whose words are then compared.
+    """
+    keys = _keys(classes, least)
+    a = keys.where("side = 'train'").select("key", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"))
+    b = keys.where("side = 'eval'").select("key", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
     t = F.lit(least)
-    need = F.ceil(t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     length = (F.col("n_a") >= t * F.col("n_b") - 1e-9) & (F.col("n_b") >= t * F.col("n_a") - 1e-9)
-    position = F.least(F.col("pos_a"), F.col("pos_b")) + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= need
-    met = a.join(b, "word").where(length & position)
+    met = a.join(b, "key").where(length).select("cls_a", "cls_b").distinct()
+    words = classes.select("side", "cls", "words")
+    met = met.join(words.where("side = 'train'").select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cls_a")
+    met = met.join(words.where("side = 'eval'").select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b")
     both = F.size(F.array_intersect("words_a", "words_b"))
-    met = met.withColumn("both", both).where(F.col("both") >= need)
-    found = met.select("cls_a", "cls_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("similarity"))
-    return found.where(F.col("similarity") >= least).distinct()
+    found = met.select("cls_a", "cls_b", (both / (F.size("words_a") + F.size("words_b") - both)).alias("similarity"))
+    return found.where(F.col("similarity") >= least)
 
 
 def cross_split(queries: DataFrame, *, least: float = 0.8, train: str = "train", evaluation: tuple[str, ...] = EVALUATION, whole: int = WHOLE) -> DataFrame:
@@ -70,7 +85,7 @@ def cross_split(queries: DataFrame, *, least: float = 0.8, train: str = "train",
     side = F.when(F.col("split") == train, "train").when(F.col("split").isin(*evaluation), "eval")
     rows = queries.select(F.col("query_id").cast("string").alias("query_id"), side.alias("side"), word_set(F.col("text")).alias("words"))
     rows = rows.where(F.col("query_id").isNotNull() & F.col("side").isNotNull() & (F.size("words") > 0))
-    members = rows.select("query_id", "side", F.sha2(F.concat_ws(" ", "words"), 256).alias("cls"), "words")
+    members = rows.select("query_id", "side", F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("cls"), "words")
     classes = members.groupBy("side", "cls").agg(F.first("words").alias("words"))
     pairs = similar_classes(classes, least)
     members = members.select("query_id", "side", "cls").distinct()

@@ -49,3 +49,15 @@ def test_explode_trims_splits(spark):
     schema = "domain string, source_file string, queries array<struct<id string, text string, split string, also_relevant array<string>, as_of string>>, extra int"
     df = spark.createDataFrame([("d", None, [("q", "t", " Held_Out\t", None, None)], 1), ("d", None, None, 2)], schema)
     assert [r.split for r in exploded_queries(df).collect()] == ["held_out"]
+
+
+def test_long_and_short_sets_meet(spark):
+    rng = random.Random(9)
+    data = []
+    for i, n in enumerate([1, 1, 2, 2, 3, 4, 30, 41, 42, 43, 60, 63, 64, 65, 66, 80, 99, 100, 150]):
+        base = [f"c{rng.randrange(40)}" if rng.random() < 0.3 else f"x{i}y{k}" for k in range(n)]
+        for m in range(max(1, int(n * 0.5)), n + 1, max(1, n // 9)):
+            data += [row(f"t{i}-{m}", " ".join(base[:m]), "train"), row(f"e{i}-{m}", " ".join(base[n - m :]), "held_out")]
+    for least in (0.5, 0.65, 0.9):
+        got = {tuple(r) for r in cross_split(spark.createDataFrame(data, SCHEMA), least=least).collect()}
+        assert got == brute(data, least) and len(got) > 10
