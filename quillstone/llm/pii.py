@@ -89,7 +89,7 @@ _EN = f"(?:{_EN_WORDS}|{_EN_WORDS.upper()})"
 STREETS = tuple(
     (words, re.compile(pattern))
     for words, pattern in (
-        ((), rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]|[  ][a-z]))?)(?![  ](?:map|maps|block|works)\b)"),
+        ((), rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]))?)(?![  ](?:map|maps|block|works)\b)"),
         (("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz", "ufer ", "damm ", "ring ", "Platz", "Ring", "Weg", "Ufer", "Damm", "Straße", "Allee", "Tor ", "Markt", "straÃ", "Am ", "An der ", "Auf der ", "Im ", "In der ", "Zum ", "Zur "), rf"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|straÃ\x9fe)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)[  ][A-ZÄÖÜ][\wäöüß-]*(?:[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))?|[A-ZÄÖÜ][\wäöüß-]*er[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))[  ]\d{{1,4}}[  ]?(?:[a-zA-Z](?![\w]))?"),
         (("rue ", "boulevard ", "bd ", "avenue ", "av. ", "place ", "chemin ", "allée ", "allee ", "impasse ", "quai ", "cours ", "route ", "square ", "\xa0"), rf"(?<![\w.\-/])\d{{1,4}}(?:[  ](?:bis|ter|quater))?,?[  ](?:rue|boulevard|bd|avenue|av\.|place|chemin|allée|allee|impasse|quai|cours|route|square)[  ](?:(?:de la|de l['’]|des|du|de|d['’])[  ]?)?(?:la[  ])?[A-ZÀ-Ý][\w'’-]*"),
         (("Calle", "C/", "Plaza", "Pza.", "Avenida", "Avda.", "Av.", "Paseo", "Pº", "Camino", "Ronda", "Travesía"), rf"(?<![\w-])(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Pº|Camino|Ronda|Travesía)[  ]?(?:(?:de la|de los|de las|del|de)[  ])?[A-ZÀ-Ý][\w'’-]*,?[  ](?:(?:nº|n\.º|núm\.|n°|no\.)[  ]?)?\d{{1,4}}(?:[  ]?[A-Za-z](?![\w]))?"),
