@@ -23,7 +23,7 @@ def chunk_text(spark, folder):
 
 @query()
 def chunk_code(spark, folder):
-    return chunking.chunked(drawers(spark, folder).where("content_kind = 'code'").select("id", "source_file", "content")).select("id", "chunk_index_new", "chunk", "symbol", "enclosing")
+    return chunking.chunked(drawers(spark, folder, F.col("content_kind") == "code").select("id", "source_file", "content")).select("id", "chunk_index_new", "chunk", "symbol", "enclosing")
 
 
 @query(f"""WITH {DRAWERS} SELECT id, CASE WHEN source_file IS NULL THEN NULL ELSE coalesce(list_filter([{', '.join(f"CASE WHEN list_contains({S.listed(e.split())}, ext) THEN '{n}' END" for n, e in LANGUAGES.items())}], lambda x: x IS NOT NULL)[1], NULL) END AS language,

@@ -14,13 +14,13 @@ WING = "larkspur"
 
 @query(f"WITH {DRAWERS} SELECT id, content, content_kind, wing, room, source_file, chunk_index FROM d WHERE wing = '{WING}'")
 def scan_wing(spark, folder):
-    return drawers(spark, folder).where(F.col("wing") == WING).select("id", "content", "content_kind", "wing", "room", "source_file", "chunk_index")
+    return drawers(spark, folder, F.col("wing") == WING).select("id", "content", "content_kind", "wing", "room", "source_file", "chunk_index")
 
 
 @query(f"WITH {DRAWERS} SELECT id, content, wing, room FROM d WHERE id = (SELECT min(id) FROM drawers)")
 def point_lookup(spark, folder):
     first = table(spark, folder, "drawers").agg(F.min("id")).first()[0]
-    return drawers(spark, folder).where(F.col("id") == first).select("id", "content", "wing", "room").limit(1)
+    return drawers(spark, folder, F.col("id") == first).select("id", "content", "wing", "room").limit(1)
 
 
 @query("SELECT DISTINCT source_file FROM drawers WHERE source_file IS NOT NULL")
@@ -91,7 +91,7 @@ def slug_underscore(spark, folder):
 @query(f"""WITH {DRAWERS} SELECT id, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(content,
     '([\\p{{Ll}}\\p{{N}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda t: t <> ''), ' ') AS words FROM d WHERE content_kind = 'code'""")
 def identifier_split(spark, folder):
-    return drawers(spark, folder).where("content_kind = 'code'").select("id", F.array_join(T.split_identifier(F.col("content")), " ").alias("words"))
+    return drawers(spark, folder, F.col("content_kind") == "code").select("id", F.array_join(T.split_identifier(F.col("content")), " ").alias("words"))
 
 
 @query(f"WITH {DRAWERS} SELECT id, {excerpt('content', 80)} AS excerpt FROM d")
@@ -107,7 +107,7 @@ def date_parse(spark, folder):
 @query(f"""WITH {DRAWERS}, n AS (SELECT *, count(*) OVER () AS total FROM d WHERE room = 'diary')
     SELECT left(filed_at, 10) AS date, filed_at AS timestamp, coalesce(regexp_replace(source_file, '^diary/', ''), 'general') AS topic, content, total FROM n ORDER BY filed_at DESC NULLS LAST, id LIMIT 10""")
 def diary_latest(spark, folder):
-    rows = drawers(spark, folder).where("room = 'diary'")
+    rows = drawers(spark, folder, F.col("room") == "diary")
     total = rows.agg(F.count("*").alias("total"))
     last = rows.orderBy(F.desc_nulls_last("filed_at"), "id").limit(10)
     return last.crossJoin(F.broadcast(total)).select(T.short_date(F.col("filed_at")).alias("date"), F.col("filed_at").alias("timestamp"), F.coalesce(T.diary_topic(F.col("source_file")), F.lit("general")).alias("topic"), "content", "total")
@@ -116,7 +116,7 @@ def diary_latest(spark, folder):
 @query(f"WITH {DRAWERS} SELECT id, content FROM d WHERE id > (SELECT min(id) FROM drawers) ORDER BY id LIMIT 256")
 def keyset_page(spark, folder):
     first = table(spark, folder, "drawers").agg(F.min("id")).first()[0]
-    return drawers(spark, folder).where(F.col("id") > first).select("id", "content").orderBy("id").limit(256)
+    return drawers(spark, folder, F.col("id") > first).select("id", "content").orderBy("id").limit(256)
 
 
 @query(f"""WITH {DRAWERS} SELECT id, max(value) FILTER (key = 'document') AS document, max(value) FILTER (key = 'wing') AS wing, max(value) FILTER (key = 'chunk') AS chunk

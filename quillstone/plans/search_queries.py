@@ -239,12 +239,12 @@ _PARTS = f"""parts AS (SELECT id, content_kind, filed_at, {S.ascii_lower("coales
 
 @query(f"WITH {DRAWERS}, {_PARTS} SELECT id, round({_code_sql()}, 6) AS boost FROM named WHERE content_kind = 'code'")
 def rerank_code(spark, folder):
-    return drawers(spark, folder).where("content_kind = 'code'").transform(search.boosted, ASK, AS_OF).select("id", F.round("boost", 6).alias("boost"))
+    return drawers(spark, folder, F.col("content_kind") == "code").transform(search.boosted, ASK, AS_OF).select("id", F.round("boost", 6).alias("boost"))
 
 
 @query(f"WITH {DRAWERS}, {_PARTS} SELECT id, round({_general_sql()}, 6) AS boost FROM named WHERE content_kind <> 'code'")
 def rerank_general(spark, folder):
-    return drawers(spark, folder).where("content_kind <> 'code'").transform(search.boosted, ASK, AS_OF).select("id", F.round("boost", 6).alias("boost"))
+    return drawers(spark, folder, F.col("content_kind") != "code").transform(search.boosted, ASK, AS_OF).select("id", F.round("boost", 6).alias("boost"))
 
 
 @query(f"WITH {DRAWERS} SELECT id, {_temporal_sql()} AS boost FROM d")
