@@ -27,12 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back. The table goes when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

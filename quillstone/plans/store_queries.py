@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillstone.functions.vectors import hash_embed
 from quillstone.plans.catalogue import query
 from quillstone.plans.sqltext import DRAWERS
-from quillstone.plans.staging import shared_dir
+from quillstone.plans.staging import scratch
 from quillstone.plans.tables import drawers
 from quillstone.sources.store import Store
 
 
 def _store(spark, **options) -> Store:
-    return Store(spark, f"{shared_dir(spark)}/stage-store-{uuid.uuid4().hex}", model="as delivered", **options)
+    return Store(spark, scratch(spark, "store"), model="as delivered", **options)
 
 
 @query(f"""WITH {DRAWERS} SELECT id, CASE WHEN wing = 'larkspur' THEN 'moved' ELSE room END AS room, wing FROM d
