@@ -3,7 +3,7 @@
 Words of every record are ordered by how many records hold them, rarest first. Two sets
 with intersection / union of at least ``least`` share words among the first few of each:
 prefixes of the evaluation side are indexed, prefixes of the training side probe them,
-lengths rule out pairs, and what is left is compared word by word. Records with equal sets
+lengths and positions rule out pairs, and what is left is compared word by word. Records with equal sets
 are one class on each side, so a text that is a third of all rows is joined once.
 """
 
@@ -32,7 +32,7 @@ def exploded_queries(corpus: DataFrame) -> DataFrame:
 
 
 def _keys(classes: DataFrame, least: float) -> DataFrame:
-    """``side, cls, n, key``: what two similar classes are sure to share at least once.
+    """``side, cls, n, pos, key``: what two similar classes are sure to share at least once, and where its first word stands.
 
     With ``k`` more words than the plain prefix has (``n - ceil(least * n) + k``), two sets that need an overlap of
     ``k`` share ``k`` prefix words. Keys are the pairs of such words for sets of up to ``PAIRED`` words: two words are
@@ -47,11 +47,14 @@ def _keys(classes: DataFrame, least: float) -> DataFrame:
     t, n = F.lit(least), F.col("n")
     plain = n - F.ceil(t * n - 1e-9)
     smallest = F.ceil(t / (1 + t) * (n + F.ceil(t * n - 1e-9)) - 1e-9)
-    one = F.when((n >= PAIRED * t) | (smallest < 2), F.slice("w", F.lit(1), (plain + 1).cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<struct<pos:int,key:bigint>>")
+    keyed = lambda i, key: F.struct(i.cast("int").alias("pos"), key.alias("key"))
+    one = F.transform(F.slice("w", F.lit(1), (plain + 1).cast("int")), lambda x, i: keyed(i, x))
     sets = sets.withColumn("p", F.slice("w", F.lit(1), F.least(plain + 2, n).cast("int")))
-    behind = lambda x, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda y: F.xxhash64(x, y))
-    two = F.when((n <= PAIRED) & (n >= 2), F.flatten(F.transform("p", behind))).otherwise(F.array().cast("array<bigint>"))
-    return sets.select("side", "cls", "n", F.explode(F.concat(one, two)).alias("key"))
+    behind = lambda x, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda y: keyed(i, F.xxhash64(x, y)))
+    two = F.flatten(F.transform("p", behind))
+    every = F.concat(F.when((n >= PAIRED * t) | (smallest < 2), one).otherwise(none), F.when((n <= PAIRED) & (n >= 2), two).otherwise(none))
+    return sets.select("side", "cls", "n", F.inline(every))
 
 
 def similar_classes(classes: DataFrame, least: float) -> DataFrame:
@@ -60,11 +63,14 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     Keys are hashes: equal ones only propose a pair, whose words are then compared.
     """
     keys = _keys(classes, least)
-    a = keys.where("side = 'train'").select("key", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"))
-    b = keys.where("side = 'eval'").select("key", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
+    a = keys.where("side = 'train'").select("key", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
+    b = keys.where("side = 'eval'").select("key", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     t = F.lit(least)
     length = (F.col("n_a") >= t * F.col("n_b") - 1e-9) & (F.col("n_b") >= t * F.col("n_a") - 1e-9)
-    met = a.join(b, "key").where(length).select("cls_a", "cls_b").distinct()
+    # no more can be shared than all before the first common word, and all behind it
+    need = F.ceil(t / (1 + t) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    most = F.least("pos_a", "pos_b") + 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    met = a.join(b, "key").where(length & (most >= need)).select("cls_a", "cls_b").distinct()
     words = classes.select("side", "cls", "words")
     met = met.join(words.where("side = 'train'").select(F.col("cls").alias("cls_a"), F.col("words").alias("words_a")), "cls_a")
     met = met.join(words.where("side = 'eval'").select(F.col("cls").alias("cls_b"), F.col("words").alias("words_b")), "cls_b")
