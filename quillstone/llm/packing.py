@@ -44,12 +44,26 @@ def encoder(path: str):
     return tiktoken.Encoding("given", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+#: White space in runs that the splitting pattern's look-ahead can't get over; what it would cut of them is one piece.
+_RUN = re.compile("[ \t\n\r\f\v\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{500,}")
+
+
+def count_tokens(enc, text: str) -> int:
+    """How many tokens a text has. Half characters, which UTF-8 can't hold, count as replacement characters."""
+    text, at, n = _LONE.sub("\ufffd", text), 0, 0
+    for run in _RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1  # the last sign goes with the word behind it
+        n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : stop]))
+        at = stop
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def _lengths(vocabulary_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_path)
-        lone = re.compile("[\ud800-\udfff]")
         for batch in batches:
-            n = [len(enc.encode_ordinary(lone.sub("�", t))) for t in batch.column(1).to_pylist()]
+            n = [count_tokens(enc, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return run

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -150,9 +151,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     out += [(a, b, "person_name") for a, b in _names(text)]
     kept: list[tuple[int, int, str]] = []
     for f in sorted(out, key=lambda f: (ORDER[f[2]], f[0])):
-        if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
-            kept.append(f)
-    return sorted(kept)
+        at = bisect_left(kept, f)
+        if (at == 0 or kept[at - 1][1] <= f[0]) and (at == len(kept) or f[1] <= kept[at][0]):
+            kept.insert(at, f)
+    return kept
 
 
 def _round(key: bytes, n: int, value: str, width: int) -> int:

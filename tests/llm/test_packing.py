@@ -37,3 +37,11 @@ def test_lengths_are_the_tokenizers(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "日本 " * 3000), (None, "x"), (1, "Hello world")], "doc_id long, text string")
     got = dict(map(tuple, packing.token_lengths(df).collect()))
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] == len(packing.encoder(packing.vocabulary()).encode_ordinary("日本 " * 3000)) and None not in got
+
+
+@pytest.mark.skipif(not os.path.exists(packing.vocabulary()), reason="no tokenizer files")
+def test_long_runs_of_white_space():
+    enc = packing.encoder(packing.vocabulary())
+    for text in ("a" + " " * 700 + "b", "a" + "\n" * 600 + "b c", " " * 900, "x\t" + " " * 650 + "\n!y", "\ud800 a", "word " * 50):
+        assert packing.count_tokens(enc, text) == len(enc.encode_ordinary(text.replace("\ud800", "\ufffd")))
+    assert packing.count_tokens(enc, "a" + " " * 1_000_000 + "b") > 1000
