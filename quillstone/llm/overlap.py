@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.plans.staging import stage
+
 WORD = "[\\p{L}\\p{N}]+"
 EVALUATION, WHOLE, PAIRED = ("dev", "held_out"), 50, 64
 
@@ -62,7 +64,7 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
 
     Keys are hashes: equal ones only propose a pair, whose words are then compared.
     """
-    keys = _keys(classes, least)
+    keys = stage(_keys(classes, least), "keys")  # both sides come from it; a filter on the side would be pushed below the counts
     a = keys.where("side = 'train'").select("key", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
     b = keys.where("side = 'eval'").select("key", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     t = F.lit(least)
@@ -92,6 +94,7 @@ def cross_split(queries: DataFrame, *, least: float = 0.8, train: str = "train",
     rows = queries.select(F.col("query_id").cast("string").alias("query_id"), side.alias("side"), word_set(F.col("text")).alias("words"))
     rows = rows.where(F.col("query_id").isNotNull() & F.col("side").isNotNull() & (F.size("words") > 0))
     members = rows.select("query_id", "side", F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("cls"), "words")
+    members = stage(members, "queries")
     classes = members.groupBy("side", "cls").agg(F.first("words").alias("words"))
     pairs = similar_classes(classes, least)
     members = members.select("query_id", "side", "cls").distinct()
