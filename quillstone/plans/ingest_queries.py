@@ -95,17 +95,44 @@ def token_stats(spark, folder):
     return _docs(spark, folder).select("doc_id", dialect.token_estimate(F.col("text")).alias("tokens"), F.octet_length("text").alias("bytes"))
 
 
-@query()
+def _hint_sql(hints) -> str:
+    cases = ", ".join(f"CASE WHEN contains(lower(text), {S.quoted(h)}) THEN '{c}' END" for h, c in hints)
+    return f"list_filter([{cases}], lambda c: c IS NOT NULL)"
+
+
+_FIRST = "lambda c, k: list_position({0}, c) = k"
+_COMPRESSED = f"""{DRAWERS}, docs AS (SELECT id AS doc_id, coalesce(content, '') AS text, * FROM d),
+    s AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\\n]')), E' \\t\\r\\n') AS s, unnest(range(0, len(regexp_split_to_array(text, '[.!?\\n]')))) AS i FROM docs),
+    p AS (SELECT doc_id, s, i, {_POINTS} + CASE WHEN strlen(s) < 80 THEN 1 ELSE 0 END + CASE WHEN strlen(s) < 40 THEN 1 ELSE 0 END - CASE WHEN strlen(s) > 150 THEN 2 ELSE 0 END AS points FROM s WHERE strlen(s) > 10),
+    b AS (SELECT doc_id, CASE WHEN length(s) > 55 THEN left(s, 52) || '...' ELSE s END AS quote FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, i) = 1),
+    w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_-]+')) AS w FROM docs),
+    c AS (SELECT doc_id, lower(w) AS topic, sum(CASE WHEN length(w) >= 3 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(w, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(w, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS weight
+          FROM w WHERE regexp_matches(w, '^[A-Za-z]') AND NOT list_contains({S.listed(dialect.STOPWORDS)}, lower(w)) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, topic) AS n FROM c WHERE weight > 0),
+    t AS (SELECT doc_id, string_agg(topic, '_' ORDER BY n) AS topics FROM r WHERE n <= 3 GROUP BY doc_id),
+    e AS (SELECT doc_id, list_transform(list_filter(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[2:], lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')),
+            lambda x: regexp_full_match(x, '[A-Z][a-z]+') AND NOT list_contains({S.listed(dialect.STOPWORDS)}, lower(x))), lambda x: upper(left(x, 3))) AS codes, {_hint_sql(dialect.MOOD_HINTS)} AS moods, {_hint_sql(dialect.FLAG_HINTS)} AS flags FROM docs),
+    parts AS (SELECT docs.doc_id, text, coalesce(wing, '') || '|' || coalesce(room, '') || '|' || coalesce(left(filed_at, 10), '?') || '|' || coalesce(regexp_replace(regexp_extract(source_file, '([^/]*)$', 1), '^(.+)\\.[^.]*$', '\\1'), '?') AS header,
+            coalesce(nullif(array_to_string(list_filter(codes, {_FIRST.format('codes')})[1:3], '+'), ''), '???') AS who, coalesce(topics, 'misc') AS topics, quote,
+            nullif(array_to_string(list_filter(moods, {_FIRST.format('moods')})[1:3], '+'), '') AS mood, nullif(array_to_string(list_filter(flags, {_FIRST.format('flags')})[1:3], '+'), '') AS flag
+          FROM docs JOIN e USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN b USING (doc_id)),
+    lines AS (SELECT doc_id AS id, text, header, header || chr(10) || concat_ws('|', '0:' || who, topics, '"' || quote || '"', mood, flag) AS dialect FROM parts),
+    compressed AS (SELECT id, header, dialect, greatest(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.3), 1)::INT AS original_tokens,
+            greatest(floor(len(list_filter(regexp_split_to_array(dialect, '\\s+'), lambda x: x <> '')) * 1.3), 1)::INT AS summary_tokens, strlen(text)::INT AS original_chars, strlen(dialect)::INT AS summary_chars FROM lines)"""
+
+
+@query(f"WITH {_COMPRESSED} SELECT * EXCLUDE (header) FROM compressed")
 def compress(spark, folder):
     return dialect.compressed(drawers(spark, folder))
 
 
-@query()
+@query(f"""WITH {_COMPRESSED} SELECT sum(original_tokens)::BIGINT AS original_tokens, sum(summary_tokens)::BIGINT AS summary_tokens, sum(original_chars)::BIGINT AS original_chars, sum(summary_chars)::BIGINT AS summary_chars,
+    sum(original_tokens) / greatest(sum(summary_tokens), 1) AS ratio FROM compressed""")
 def compress_totals(spark, folder):
     return dialect.totals(dialect.compressed(drawers(spark, folder)))
 
 
-@query()
+@query(f"WITH {_COMPRESSED} SELECT id, header, 1 AS entries, 0 AS tunnels, NULL::VARCHAR AS arc FROM compressed")
 def dialect_decode(spark, folder):
     rows = dialect.compressed(drawers(spark, folder)).select("id", dialect.decoded(F.col("dialect")).alias("d"))
     return rows.select("id", F.col("d.header").alias("header"), F.size("d.entries").alias("entries"), F.size("d.tunnels").alias("tunnels"), F.col("d.arc").alias("arc"))
@@ -151,6 +178,25 @@ def session_exchanges(spark, folder):
     return assembly.exchanges(_lines(spark, folder))
 
 
+_J = "CASE WHEN json_valid(raw_line) AND json_type(raw_line) = 'OBJECT' THEN raw_line::JSON END"
+
+
+@query(f"""WITH r AS (SELECT * FROM session_records WHERE adapter = 'log_a' QUALIFY row_number() OVER (PARTITION BY source_key, start_byte ORDER BY read_at DESC) = 1),
+    j AS (SELECT source_key, start_byte, {_J} AS j FROM r JOIN (SELECT DISTINCT adapter, source_key FROM session_files) USING (adapter, source_key) WHERE has_newline),
+    ev AS (SELECT source_key, start_byte, j ->> '$.type' AS kind, j ->> '$.timestamp' AS stamp, j ->> '$.payload.id' AS session, coalesce(j ->> '$.payload.thread_source', '') = 'subagent' OR coalesce(j -> '$.payload.source.subagent', 'null')::VARCHAR <> 'null' AS sub,
+            CASE WHEN j ->> '$.type' = 'event_msg' AND j ->> '$.payload.type' = 'user_message' THEN nullif(trim(j ->> '$.payload.message', E' \\t\\r\\n'), '') END AS asked,
+            CASE WHEN j ->> '$.type' = 'response_item' AND j ->> '$.payload.type' = 'message' AND j ->> '$.payload.role' = 'assistant' AND j ->> '$.payload.phase' = 'final_answer' THEN nullif(array_to_string(
+                list_filter(list_transform(list_filter((j -> '$.payload.content')::JSON[], lambda p: (p ->> '$.type') = 'output_text'), lambda p: trim(p ->> '$.text', E' \\t\\r\\n')), lambda x: x <> ''), chr(10)), '') END AS answer
+          FROM j WHERE j IS NOT NULL),
+    meta AS (SELECT source_key, arg_min(session, start_byte) AS session, arg_min(sub, start_byte) AS sub FROM ev WHERE kind = 'session_meta' GROUP BY source_key),
+    n AS (SELECT *, count(answer) OVER (PARTITION BY source_key ORDER BY start_byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM ev WHERE asked IS NOT NULL OR answer IS NOT NULL)
+    SELECT source_key, string_agg(asked, chr(10) ORDER BY start_byte) AS users, max(answer) AS assistant, coalesce(arg_max(stamp, start_byte), arg_min(stamp, start_byte)) AS timestamp, any_value(meta.session) AS session_id
+    FROM n LEFT JOIN meta USING (source_key) WHERE NOT coalesce(meta.sub, false) GROUP BY source_key, g HAVING count(asked) > 0 AND count(answer) > 0""")
+def session_turns(spark, folder):
+    rows = assembly.exchanges(_lines(spark, folder).where("adapter = 'log_a'"))
+    return rows.select("source_key", F.array_join("users", "\n").alias("users"), "assistant", "timestamp", "session_id")
+
+
 @query()
 def session_drawers(spark, folder):
     return assembly.as_drawers(assembly.exchanges(_lines(spark, folder)), "sessions")
