@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
-from quillstone.operators import evaluate
+from quillstone.operators import evaluate, ranking
 from quillstone.plans import sqltext as S
 from quillstone.plans.catalogue import query
 from quillstone.plans.sqltext import CORPUS
@@ -42,6 +42,18 @@ def _ranked(spark, folder):
     return a, s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST)
 
 
+def _ranked_in_store(spark, folder):
+    """Every document of the store by the weight of the words it shares with a question; no domain and no word is left out."""
+    c, a = corpus(spark, folder), _asked(spark, folder)
+    tokens = lambda x: F.array_distinct(T.identifier_tokens(F.col(x)))
+    items = c.select(F.col("id").alias("item_id"), tokens("content").alias("words"))
+    n = c.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("queries")), F.lit(0)).alias("asked")).first()
+    df = items.select(F.explode("words").alias("t")).groupBy("t").agg(F.log(F.lit(float(n.docs)) / F.count("*")).alias("w"))
+    q = a.select("question_id", F.explode(tokens("text")).alias("t")).join(df, "t").groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("words"))
+    q = q.select("question_id", F.col("words.t").alias("words"), F.col("words.w").alias("weights"))
+    return a, ranking.best_shared(q, items, MOST, n.asked, n.docs)
+
+
 def _relevant(a):
     both = a.select("question_id", F.col("id").alias("item_id")).unionByName(a.select("question_id", F.explode("also_relevant").alias("item_id")))
     return both.where("item_id is not null").distinct()
@@ -56,14 +68,30 @@ _METRICS = f"""{_RANKED},
 
 @query(f"WITH {_METRICS} SELECT question_id, k::INT AS k, recall_any, recall_all, round(ndcg, 6) AS ndcg, round(reciprocal_rank, 6) AS reciprocal_rank FROM metrics")
 def ir_metrics(spark, folder):
-    a, ranked = _ranked(spark, folder)
+    return _ir_metrics(*_ranked(spark, folder))
+
+
+@query()
+def store_ir_metrics(spark, folder):
+    return _ir_metrics(*_ranked_in_store(spark, folder))
+
+
+def _ir_metrics(a, ranked):
     rows = evaluate.metrics(ranked, _relevant(a))
     return rows.withColumns({"ndcg": F.round("ndcg", 6), "reciprocal_rank": F.round("reciprocal_rank", 6)})
 
 
 @query(f"WITH {_METRICS} SELECT split, k::INT AS k, count(*) AS questions, round(avg(recall_any), 6) AS recall_any, round(avg(recall_all), 6) AS recall_all, round(avg(ndcg), 6) AS ndcg, round(avg(reciprocal_rank), 6) AS reciprocal_rank FROM metrics JOIN a USING (question_id) WHERE split IN ('dev', 'held_out') GROUP BY ALL")
 def split_means(spark, folder):
-    a, ranked = _ranked(spark, folder)
+    return _split_means(*_ranked(spark, folder))
+
+
+@query()
+def store_split_means(spark, folder):
+    return _split_means(*_ranked_in_store(spark, folder))
+
+
+def _split_means(a, ranked):
     own = a.where(F.col("split").isin("dev", "held_out"))
     rows = evaluate.means(evaluate.metrics(ranked, _relevant(own)).join(own.select("question_id", "split"), "question_id"), "split")
     return rows.withColumns({c: F.round(c, 6) for c in ("recall_any", "recall_all", "ndcg", "reciprocal_rank")})
@@ -82,7 +110,15 @@ _Z = evaluate.Z
     SELECT domain, round(greatest(0, (s / n + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) - {_Z} * sqrt(s / n * (1 - s / n) / n + {_Z} * {_Z} / (4 * n * n)) / (1 + {_Z} * {_Z} / n)), 6) AS low,
         round(least(1, (s / n + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) + {_Z} * sqrt(s / n * (1 - s / n) / n + {_Z} * {_Z} / (4 * n * n)) / (1 + {_Z} * {_Z} / n)), 6) AS high FROM g""")
 def wilson_interval(spark, folder):
-    a, ranked = _ranked(spark, folder)
+    return _wilson_interval(*_ranked(spark, folder))
+
+
+@query()
+def store_wilson_interval(spark, folder):
+    return _wilson_interval(*_ranked_in_store(spark, folder))
+
+
+def _wilson_interval(a, ranked):
     rows = evaluate.metrics(ranked, _relevant(a), (5,)).join(a.select("question_id", "domain"), "question_id").groupBy("domain").agg(F.sum("recall_any").alias("s"), F.count("*").alias("n"))
     low, high = evaluate.wilson(F.col("s"), F.col("n"))
     return rows.select("domain", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
@@ -91,7 +127,15 @@ def wilson_interval(spark, folder):
 @query(f"""WITH {_METRICS}, g AS (SELECT domain, avg(recall_any) AS recall FROM metrics JOIN a USING (question_id) WHERE k = 5 GROUP BY domain), b AS (SELECT domain, 0.9 AS baseline FROM g WHERE domain LIKE 'c%')
     SELECT domain, round(recall, 6) AS recall, baseline::DOUBLE AS baseline, round(recall - baseline, 6) AS delta, coalesce(recall - baseline >= -0.02, false) AS passed FROM g LEFT JOIN b USING (domain)""")
 def domain_gate(spark, folder):
-    a, ranked = _ranked(spark, folder)
+    return _domain_gate(*_ranked(spark, folder))
+
+
+@query()
+def store_domain_gate(spark, folder):
+    return _domain_gate(*_ranked_in_store(spark, folder))
+
+
+def _domain_gate(a, ranked):
     rows = evaluate.metrics(ranked, _relevant(a), (5,)).join(a.select("question_id", "domain"), "question_id").groupBy("domain").agg(F.avg("recall_any").alias("recall"))
     base = rows.where("domain like 'c%'").select("domain", F.lit(0.9).alias("baseline"))
     return evaluate.gate(rows, base).withColumns({"recall": F.round("recall", 6), "delta": F.round("delta", 6)})

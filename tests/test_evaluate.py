@@ -27,3 +27,33 @@ def test_gate(spark):
     m = spark.createDataFrame([("a", 0.9), ("b", 0.87), ("c", 1.0)], "domain string, recall double")
     base = spark.createDataFrame([("a", 0.91), ("b", 0.9)], "domain string, baseline double")
     assert {r.domain: r.passed for r in evaluate.gate(m, base).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_questions_rank_against_the_whole_store(spark, tmp_path):
+    """Against SQL without a domain and without a limit on a word's frequency; blocks of a few rows each."""
+    import duckdb
+    import oracle
+
+    from quillstone.operators import ranking
+    from quillstone.plans import evaluation_queries as E
+    from quillstone.plans import sqltext as S
+
+    query = "struct<id: string, text: string, split: string, also_relevant: array<string>, as_of: string>"
+    rows = [(f"d{i:02d}", "ab"[i % 2], f"common word{i % 7} word{i % 5} only{i}", "2024", [(f"q{i}", f"common word{(i + 1) % 7} word{i % 5}", "dev", [f"d{(i + 1) % 40:02d}"], None)]) for i in range(40)]
+    spark.createDataFrame(rows, f"id string, domain string, content string, filed_at string, queries array<{query}>").write.parquet(f"{tmp_path}/multi_domain_queries.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW multi_domain_queries AS FROM '{tmp_path}/multi_domain_queries.parquet/*.parquet'")
+    sql = f"""WITH {S.CORPUS}, {E._ASKED}, w AS (SELECT DISTINCT id AS item_id, unnest({S.tokens('content')}) AS t FROM c), n AS (SELECT t, count(*) AS df FROM w GROUP BY t), nn AS (SELECT count(*) AS docs FROM c),
+        qw AS (SELECT DISTINCT question_id, unnest({S.tokens('text')}) AS t FROM a),
+        s AS (SELECT question_id, item_id, round(sum(ln(docs / df)), 9) AS score FROM qw JOIN w USING (t) JOIN n USING (t), nn GROUP BY ALL)
+        SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= {E.MOST}"""
+    for sizes in ((ranking.QUESTIONS, ranking.ITEMS), (7, 11)):
+        old = ranking.QUESTIONS, ranking.ITEMS
+        ranking.QUESTIONS, ranking.ITEMS = sizes
+        try:
+            got = E._ranked_in_store(spark, str(tmp_path))[1].select("question_id", "item_id", "rank").toPandas()
+        finally:
+            ranking.QUESTIONS, ranking.ITEMS = old
+        assert oracle.rows(got) == oracle.rows(con.execute(sql).df())
+    scores = {(r.question_id, r.k): r for r in E.store_ir_metrics(spark, str(tmp_path)).collect()}
+    assert len(got) == 1600 and all(scores[f"q{i}", 50].recall_all == 1 for i in range(40))
