@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """A search: every hundredth drawer, by the hash of its id, asks among all."""
     asks = F.pmod(F.xxhash64("id"), F.lit(100)) == 0
-    found = neighbours.most_similar(_table(spark, folder, "drawers"), trees=8, window=40_000, queries=asks, partition_rows=200_000)
+    found = neighbours.most_similar(_table(spark, folder, "drawers"), trees=24, window=40_000, queries=asks, partition_rows=200_000)
     return found.withColumn("cosine", F.round("cosine", 6))
 
 

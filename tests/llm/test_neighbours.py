@@ -54,3 +54,30 @@ def test_min_cosine_keeps_ranks(spark):
     x = np.array([[1, 0], [1, 0.1], [1, 0.2], [0, 1]], dtype=float)
     found = most_similar(spark.createDataFrame(rows("abcd", x), SCHEMA), dim=2, min_cosine=0.99).collect()
     assert {(r.id, r.neighbour, r.rank) for r in found} == {("a", "b", 1), ("b", "a", 2), ("b", "c", 1), ("c", "b", 1)}
+
+
+def test_search_recall_where_the_window_is_a_small_share(spark, monkeypatch):
+    """p1_neighbours with its window and partitions at the share of rows that they have of 1.5 million."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import neighbours, queries
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    real = most_similar
+    monkeypatch.setattr(neighbours, "most_similar", lambda df, **kw: real(df, **kw | {n: kw[n] // 100 for n in ("window", "partition_rows")}))
+    found = queries.p1_neighbours(spark, folder).toPandas()
+    rows = spark.read.parquet(f"{folder}/drawers.parquet").where(F.col("id").isNotNull() & neighbours.usable("embedding", 64))
+    frame = rows.selectExpr("id", "cast(embedding as array<double>) as e", "pmod(xxhash64(id), 100) = 0 as asks").dropDuplicates(["id"]).toPandas()
+    x = np.array(frame.e.tolist())
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asks = np.flatnonzero(frame.asks)
+    s = x[asks] @ x.T
+    s[np.arange(len(asks)), asks] = -2
+    fifth = dict(zip(frame.id[asks], np.sort(s, axis=1)[:, -5]))
+    hits = sum(c >= fifth[i] - 1e-6 for i, c in zip(found.id, found.cosine))
+    assert hits / (5 * len(asks)) >= 0.9
