@@ -2,8 +2,10 @@
 
 Numbers are recognised by the formats of their countries, not by labels next to them;
 addresses by the word for the street and the place of the number; names by given and
-family names that are built of known parts, in any order and case. All offsets are in
-code points of the text as it is.
+family names that are built of known parts, in any order and case, and beside these by
+what stands around two or more capitalised words: a title, label, greeting, signature, a
+phrase that people follow, or a common given name in front. All offsets are in code
+points of the text as it is.
 
 A placeholder holds the type and a pseudonym. Digits of phone and identity numbers are
 permuted by a keyed Feistel network over their own decimal format, so signs, spaces,
@@ -45,6 +47,48 @@ NAME = re.compile(rf"(?<![\w@.+'-])(?:(?:{_G}{_W}|{_I}){_I}{{0,2}}{_P}?{_SS}|{_P
 #: A name begins at most so far before its first family name.
 _REACH = 80
 
+_U = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞİĶŁŃŇŐŒŘŚŞŠŤŪŮŰŸŹŻŽΑ-ΩА-ЯЁІЇЄ"
+_N = rf"(?:[{_U}][^\W\d_]+|[{_U}]['’][{_U}][^\W\d_]+)(?:['’-][^\W\d_]+)*"
+_J = rf"[{_U}]\.(?:{_W})?"
+_Q = rf"(?:(?i:{_any(sorted(PARTICLES, key=len, reverse=True))}){_W})"
+#: Capitalised words that begin no name.
+_NO_NAME = (
+    "Dear|Hi|Hello|Hey|Hallo|Lieber?|Geehrter?|Bonjour|Chère?|Hola|Estimad[oa]|Querid[oa]|Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Professor|Doctor|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Srta|Don|Doña|Sir|Thanks|Regards|Best|Cheers|Sincerely|Danke|Grüße|Merci|"
+    "Cordialement|Saludos|Gracias|The|This|That|These|A|An|And|Or|But|If|In|On|At|By|For|From|To|With|Our|My|Your|His|Her|Their|All|Team|Everyone|Every|Each|New|Old|Der|Die|Das|Ein|Eine|Le|La|Les|Un|Une|El|Los|Las|Una|Ask|Asked|Call|Note|See|Chapter|Section|"
+    "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December"
+)
+#: Words that no name ends in.
+_NO_FAMILY = "Team|Members?|All|Everyone|Group|Inc|Ltd|GmbH|LLC|Corp|University|School|Street|Road|Avenue|Lane|Drive|Playbook|Project|Service|Server|Platform|Department|Committee|Customer|Colleagues?|Map|Guide|Manual|Handbook|Library|Engine|Cloud|Data|Database"
+_NO_NAME, _NO_FAMILY = (f"{x}|{x.upper()}" for x in (_NO_NAME, _NO_FAMILY))
+SHAPE = re.compile(rf"(?<![\w@.+'’-])(?=((?!(?:{_NO_NAME})\b)(?:(?:{_N}{_W}|{_J})(?:{_J}){{0,2}}(?:{_N}{_W})?{_Q}?(?!(?:{_NO_FAMILY})\b){_N}|{_Q}?{_N},{_W}(?!(?:{_NO_NAME}|{_NO_FAMILY})\b)(?:{_N}|{_J}))(?:{_W}[{_U}]\.(?!\w))?)(?![\w@]|[-'.+_]\w))")
+_TITLES = "mrs?|ms|mx|miss|dr|prof|professor|doctor|dres|herrn?|frau|monsieur|madame|mme|mlle|señora?|sra?|srta|don|doña|dipl\\.-ing|ing"
+_ROLES = (
+    "(?:full |contact |person |customer |employee |patient |display |user )?name|full_name|display_name|person(?:_name)?|pers|field_pe|owner|author|assignee|assigned to|reviewer|reviewed by|contact|customer|patient|employee|manager|signed|signed by|approved by|created by|"
+    "ansprechpartner(?:in)?|bearbeiter(?:in)?|kund(?:e|in)|verantwortlich|auteur|nom|autor(?:a)?|nombre|responsable|contacto|attn|from|to|von|de|an|à"
+)
+_PHRASES = (
+    "(?:reviewed|written|signed|approved|authored|reported|prepared|filed) by|assigned to|according to|(?:spoke|speak|talk(?:ed)?|met|paired|checked) (?:with|to)|ask|asked|cc|attn|my name is|i am|contact|call|geprüft von|verfasst von|unterschrieben von|rückfragen an|"
+    "(?:ab|be)stimmt mit|gesprochen mit|ich heiße|mein name ist|relu par|écrit par|signé par|voir avec|parlé avec|je m['’]appelle|revisado por|escrito por|firmado por|pregunta a|hablé con|me llamo"
+)
+_GREETINGS = "dear|hi|hello|hey|hallo|liebe[rs]?|guten tag|sehr geehrte[rs]?|bonjour|chère?|hola|estimad[oa]|querid[oa]"
+_CLOSINGS = "thanks|thank you|many thanks|(?:kind |best |warm )?regards|best(?: wishes)?|yours(?: sincerely| truly| faithfully)?|sincerely|cheers|(?:viele |beste |liebe |mit freundlichen )?grü(?:ß|ss)en?|vg|mfg|danke|cordialement|bien à vous|merci|saludos(?: cordiales)?|un saludo|atentamente|gracias"
+BEFORE = re.compile(
+    rf"(?:(?<!\w)(?:{_TITLES})\.?{_W}|(?<!\w)(?:{_ROLES})[\"']?[ \t]?[:=][ \t]?[\"']?|(?<!\w)(?:{_PHRASES}|{_GREETINGS}){_W}|TODO\(|(?<!\w)(?:{_CLOSINGS})[,.!]?[ \t]*(?:\r?\n)+[ \t]*|(?:^|\n)--[ ]?\r?\n)\Z",
+    re.I,
+)
+AFTER = re.compile(rf"{_W}(?:wrote|said|told|asked|replied|schrieb|sagte|meinte|a écrit|a dit|escribió|dijo)(?!\w)")
+#: Given names that are common where the languages of the texts are spoken; with one in front, two capitalised words are a name anywhere.
+GIVEN = frozenset(
+    "adam adrian agnes alain albert alejandro alessandro alexander alfred alice alicia amanda amelie ana andrea andreas andrew angela anita anja anna anne annette anthony antoine antonio arthur astrid barbara beatriz benjamin bernard bernd birgit brian brigitte camille carl carla "
+    "carlos carmen carol caroline catherine cecile charles charlotte chloe christian christina christine christoph christopher clara claire claudia claude cristina daniel daniela david deborah denis diana diego dieter dominique donald dorothy edward elena eleanor elisabeth elizabeth "
+    "ella emily emma enrique eric erik ernst esther eva fatima felix fernando florian francisco francois frank franz frederic friedrich gabriel george gerard gerhard giulia gisela gloria guillaume gunter hannah hans harald heike heinrich helen helena helga henri henry "
+    "herbert holger hugo ines ingrid isabel isabelle ivan jack jacob jacques james jan jana jane javier jean jennifer jens jessica joachim joan johann johannes john jonas jonathan jorge jose josef joseph joshua juan judith julia julie julien jurgen karen karin karl katharina "
+    "katherine kathrin kenneth kevin klaus kristina lars laura laurent lea lena leon linda lisa louis louise lucas lucia lucie luis lukas manfred manuel manuela marc marcel marco margaret maria marianne marie marina mario mark markus marta martha martin martina mary "
+    "mateo matthew matthias max maximilian mercedes michael michel michelle miguel mohammed monica monika nadia nathalie nicholas nicolas nicole nina nora olga oliver olivia olivier oscar pablo pamela pascal patricia patrick paul paula pauline pedro peter petra philip "
+    "philippe pierre pilar rachel rafael rainer ralf raquel raul rebecca renate ricardo richard rita robert roberto roger roland rosa ruth ryan sabine samuel sandra sara sarah sebastian sergio silvia simon simone sofia sonia sophia sophie stefan stefanie stephan stephanie "
+    "stephen steven susan susanne sven sylvia tanja teresa theresa thomas tim timothy tobias tom ulrich ulrike ursula uwe valerie vanessa vera veronica victor victoria vincent walter werner wilhelm william wolfgang yvonne zoe".split()
+)
+
 _AT = r"(?:[  ]?@[  ]?|[  ]?[\[({]\s?(?:at|arroba)\s?[\])}][  ]?|[  ]at[  ]|&#64;|&#x40;|%40|＠)"
 _DOT = r"(?:\.|[  ]?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}][  ]?|[  ]dot[  ])"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
@@ -71,6 +115,13 @@ PHONE = re.compile(
     rf"|[69]\d\d{_r}(?:\d{{3}}{_r}\d{{3}}|\d\d{_r}\d\d{_r}\d\d)"
     r")(?![\w]|[.\-/]\d)"
 )
+#: Numbers of any country (E.164, 8 to 15 digits, after a plus sign or 00), and national ones with a trunk zero (8 to 12 digits) in groups of any length.
+ANY_PHONE = re.compile(
+    r"(?<![\w.\-/+(,:])(?:"
+    rf"(?P<abroad>(?:\+|00(?=[1-9]\d{{0,2}}[ \u00a0\u202f.\-/(]))[1-9]\d{{0,2}}(?:{_s}\(0\))?(?:{_s}\(\d{{1,4}}\))?(?:{_s}\d+){{1,7}})"
+    rf"|(?:\(0[1-9]\d{{0,4}}\)[ \u00a0\u202f.\-/]?|0[1-9]\d{{1,4}}{_r})\d{{2,8}}(?:[ \u00a0\u202f\-]\d{{1,5}}){{0,3}}"
+    r")(?![\w]|[.\-/:,]\d)"
+)
 NATIONAL = re.compile(
     r"(?<![\w.\-/+])(?:"
     r"\d{3}([-  ])\d\d\1\d{4}"
@@ -128,6 +179,28 @@ def _streets(text: str) -> Iterator[tuple[int, int]]:
                 yield m.start(), m.start() + len(m[0].rstrip("  "))
 
 
+def _phones(text: str) -> Iterator[tuple[int, int]]:
+    for m in PHONE.finditer(text):
+        yield m.span()
+    for m in ANY_PHONE.finditer(text):
+        digits = sum(map(str.isdigit, m[0])) - 2 * m[0].startswith("00")
+        if 8 <= digits <= (15 if m["abroad"] else 12):
+            yield m.span()
+
+
+def _shaped(text: str) -> Iterator[tuple[int, int]]:
+    """Capitalised words that their surroundings or a common given name make a name."""
+    done = 0
+    for m in SHAPE.finditer(text):
+        a, b = m.span(1)
+        if a < done:
+            continue
+        known = any(w in GIVEN for w in re.split(r"[\s,-]+", text[a:b].translate(FOLD))[: None if "," in m[1] else 1])
+        if known or BEFORE.search(text, max(0, a - 40), a) or AFTER.match(text, b):
+            yield a, b
+            done = b
+
+
 def _names(text: str) -> Iterator[tuple[int, int]]:
     plain, done = text.lower() if text.isascii() else text.translate(FOLD), 0
     for family in FAMILY.finditer(plain):
@@ -147,8 +220,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if _DIGIT.search(text):
         out += [(a, b, "street_address") for a, b in _streets(text)]
         out += [(m.start(), m.end(), "national_id") for m in NATIONAL.finditer(text)]
-        out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text)]
-    out += [(a, b, "person_name") for a, b in _names(text)]
+        out += [(a, b, "phone") for a, b in _phones(text)]
+    names = list(_names(text))
+    out += [(a, b, "person_name") for a, b in names]
+    out += [(a, b, "person_name") for a, b in _shaped(text) if not any(c < b and a < d for c, d in names)]
     kept: list[tuple[int, int, str]] = []
     for f in sorted(out, key=lambda f: (ORDER[f[2]], f[0])):
         at = bisect_left(kept, f)
@@ -204,12 +279,16 @@ def normal(kind: str, value: str) -> str:
     return " ".join(v.split())
 
 
+#: Country codes of two digits; those that begin otherwise have three, but for 1 and 7.
+TWO_DIGIT = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def pseudonym(kind: str, value: str, key: bytes) -> str:
     if kind not in ("phone", "national_id"):
         return _code(f"{kind}|{normal(kind, value)}", key)
     keep = 0
     if value.startswith("+"):  # the country code stays
-        keep = 1 if value[1] == "1" else 2
+        keep = 1 if value[1] in "17" else 2 if value[1:3] in TWO_DIGIT else 3
     digits = "".join(c for c in value if c.isdigit())
     new = iter(digits[:keep] + permute_digits(digits[keep:], key, kind))
     return "".join(next(new) if c.isdigit() else c for c in value)

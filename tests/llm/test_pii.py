@@ -74,3 +74,34 @@ def test_tables(spark):
     df = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, None, "x"), (3, "", "x"), (None, "a.b@example.org", "x")], "doc_id long, text string, pii_type string")
     assert {(r.doc_id, r.pii_value) for r in pii.findings(df).collect()} == {(1, "a.b@example.org")}
     assert pii.redacted(df, key=KEY).count() == 5 and pii.findings(df.where("false")).count() == 0
+
+
+ELSEWHERE = [
+    ("Then Maria Schmidt left.", "person_name", "Maria Schmidt"),
+    ("Reviewed by Frau Ottokar Zwirner today", "person_name", "Ottokar Zwirner"),
+    ("Dear Xanthe O'Brien,", "person_name", "Xanthe O'Brien"),
+    ("name: García, Iñaki", "person_name", "García, Iñaki"),
+    ("Kind regards,\nBjörn Åkesson", "person_name", "Björn Åkesson"),
+    ("Ask Wenzel van der Berg about it", "person_name", "Wenzel van der Berg"),
+    ("dial +49 30 901820.", "phone", "+49 30 901820"),
+    ("dial +49 30 1234567.", "phone", "+49 30 1234567"),
+    ("dial +41 44 668 18 00", "phone", "+41 44 668 18 00"),
+    ("dial +43 1 58858 0", "phone", "+43 1 58858 0"),
+    ("dial +39 06 6982 1234", "phone", "+39 06 6982 1234"),
+    ("dial 030 901820", "phone", "030 901820"),
+    ("dial 0049 30 901820", "phone", "0049 30 901820"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "value"), ELSEWHERE)
+def test_names_and_phones_outside_the_lists(text, kind, value):
+    assert [(k, text[a:b]) for a, b, k in pii.find(text)] == [(kind, value)]
+
+
+@pytest.mark.parametrize("text", ["Der Server lief", "The Build Team said no", "2026-01-02 03:04:05", "+12 rows", "offset 0042 1234", "Dear Team Members,", "USER ASKED FOR CLOSET HOLPLALETH TOUR"])
+def test_no_names_and_phones_outside_the_lists(text):
+    assert pii.find(text) == []
+
+
+def test_country_code_of_three_digits_stays():
+    assert pii.pseudonym("phone", "+351 21 346 3000", KEY).startswith("+351 ")
