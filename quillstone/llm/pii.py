@@ -60,7 +60,7 @@ _NO_NAME = (
 #: Words that no name ends in.
 _NO_FAMILY = "Team|Members?|All|Everyone|Group|Inc|Ltd|GmbH|LLC|Corp|University|School|Street|Road|Avenue|Lane|Drive|Playbook|Project|Service|Server|Platform|Department|Committee|Customer|Colleagues?|Map|Guide|Manual|Handbook|Library|Engine|Cloud|Data|Database"
 _NO_NAME, _NO_FAMILY = (f"{x}|{x.upper()}" for x in (_NO_NAME, _NO_FAMILY))
-SHAPE = re.compile(rf"(?<![\w@.+'’-])(?=((?!(?:{_NO_NAME})\b)(?:(?:{_N}{_W}|{_J})(?:{_J}){{0,2}}(?:{_N}{_W})?{_Q}?(?!(?:{_NO_FAMILY})\b){_N}|{_Q}?{_N},{_W}(?!(?:{_NO_NAME}|{_NO_FAMILY})\b)(?:{_N}|{_J}))(?:{_W}[{_U}]\.(?!\w))?)(?![\w@]|[-'.+_]\w))")
+SHAPE = re.compile(rf"(?<![\w@.+'’-])(?=((?:(?:{_N}{_W}|{_J})(?:{_J}){{0,2}}(?:{_N}{_W})?{_Q}?(?=[{_U}])(?!(?:{_NO_FAMILY})\b){_N}|{_Q}?{_N},{_W}(?=[{_U}])(?!(?:{_NO_NAME}|{_NO_FAMILY})\b)(?:{_N}|{_J}))(?:{_W}[{_U}]\.(?!\w))?)(?![\w@]|[-'.+_]\w))(?!(?:{_NO_NAME})\b)")
 _TITLES = "mrs?|ms|mx|miss|dr|prof|professor|doctor|dres|herrn?|frau|monsieur|madame|mme|mlle|señora?|sra?|srta|don|doña|dipl\\.-ing|ing"
 _ROLES = (
     "(?:full |contact |person |customer |employee |patient |display |user )?name|full_name|display_name|person(?:_name)?|pers|field_pe|owner|author|assignee|assigned to|reviewer|reviewed by|contact|customer|patient|employee|manager|signed|signed by|approved by|created by|"
@@ -142,7 +142,7 @@ STREETS = tuple(
     (words, re.compile(pattern))
     for words, pattern in (
         ((), rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]))?)(?![  ](?:map|maps|block|works)\b)"),
-        (("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz", "ufer ", "damm ", "ring ", "Platz", "Ring", "Weg", "Ufer", "Damm", "Straße", "Allee", "Tor ", "Markt", "straÃ", "Am ", "An der ", "Auf der ", "Im ", "In der ", "Zum ", "Zur "), rf"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|straÃ\x9fe)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)[  ][A-ZÄÖÜ][\wäöüß-]*(?:[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))?|[A-ZÄÖÜ][\wäöüß-]*er[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))[  ]\d{{1,4}}[  ]?(?:[a-zA-Z](?![\w]))?"),
+        (("straße", "strasse", "str.", "gasse", "allee", "platz", "Platz", "Ring", "Weg", "Ufer", "Damm", "Straße", "Allee", "Markt", "straÃ", *(w + gap for w in ("weg", "ufer", "damm", "ring", "Tor", "Am", "An der", "Auf der", "Im", "In der", "Zum", "Zur") for gap in " \xa0")), rf"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|straÃ\x9fe)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)[  ][A-ZÄÖÜ][\wäöüß-]*(?:[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))?|[A-ZÄÖÜ][\wäöüß-]*er[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))[  ]\d{{1,4}}[  ]?(?:[a-zA-Z](?![\w]))?"),
         (("rue ", "boulevard ", "bd ", "avenue ", "av. ", "place ", "chemin ", "allée ", "allee ", "impasse ", "quai ", "cours ", "route ", "square ", "\xa0"), rf"(?<![\w.\-/])\d{{1,4}}(?:[  ](?:bis|ter|quater))?,?[  ](?:rue|boulevard|bd|avenue|av\.|place|chemin|allée|allee|impasse|quai|cours|route|square)[  ](?:(?:de la|de l['’]|des|du|de|d['’])[  ]?)?(?:la[  ])?[A-ZÀ-Ý][\w'’-]*"),
         (("Calle", "C/", "Plaza", "Pza.", "Avenida", "Avda.", "Av.", "Paseo", "Pº", "Camino", "Ronda", "Travesía"), rf"(?<![\w-])(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Pº|Camino|Ronda|Travesía)[  ]?(?:(?:de la|de los|de las|del|de)[  ])?[A-ZÀ-Ý][\w'’-]*,?[  ](?:(?:nº|n\.º|núm\.|n°|no\.)[  ]?)?\d{{1,4}}(?:[  ]?[A-Za-z](?![\w]))?"),
     )

@@ -105,3 +105,8 @@ def test_no_names_and_phones_outside_the_lists(text):
 
 def test_country_code_of_three_digits_stays():
     assert pii.pseudonym("phone", "+351 21 346 3000", KEY).startswith("+351 ")
+
+
+@pytest.mark.parametrize("value", [a.replace(" ", "\xa0") if "der" not in a else a.replace(" B", "\xa0B").replace(" 3", "\xa03") for a in ("Lindenweg 5", "Nordufer 5", "Altdamm 5", "Südring 5", "Am Bach 3", "Im Bach 3", "Zum Bach 3", "Zur Bach 3", "An der Bach 3", "Auf der Bach 3", "In der Bach 3", "Berliner Tor 3")])
+def test_german_streets_with_no_break_spaces_alone(value):
+    assert [(k, t) for a, b, k in pii.find(f"wohnt {value}") for t in [f"wohnt {value}"[a:b]]] == [("street_address", value)]
