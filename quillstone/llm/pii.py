@@ -1,16 +1,15 @@
 """Personal information in free text: finding it, and putting typed, linkable placeholders in its place.
 
 Numbers are recognised by the formats of their countries, not by labels next to them;
-addresses by the word for the street and the place of the number; names by given and
-family names that are built of known parts, in any order and case, and beside these by
-what stands around two or more capitalised words: a title, label, greeting, signature, a
-phrase that people follow, or a common given name in front. All offsets are in code
-points of the text as it is.
+addresses by the word for the street and the place of the number; names as ``names``
+says, with a lexicon that is learned from the documents themselves. All offsets are in
+code points of the text as it is.
 
 A placeholder holds the type and a pseudonym. Digits of phone and identity numbers are
 permuted by a keyed Feistel network over their own decimal format, so signs, spaces,
-country codes and length stay, and equal numbers get equal pseudonyms in all documents.
-Other values get a Feistel-permuted 40-bit code of their normalised form.
+country codes and length stay, numbers stay valid (or invalid) as they were, with their
+control letter or key recomputed, and equal numbers get equal pseudonyms in all documents;
+dates of birth, which are looked for on demand, are permuted among days. Other values get a Feistel-permuted 40-bit code of their normalised form.
 """
 
 from __future__ import annotations
@@ -18,76 +17,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of given and family names.
-GIVEN_HEADS = "bre dra ere fen he il ja ka lu mi no or pa qui ru sol ta ve yel zan".split()
-GIVEN_TAILS = "bela dora dric jan lisse lka miel nko phia ros rven senn tash vrin wenna".split()
-FAMILY_HEADS = "ashr bramm dunm ferri graun halde ilve kestr lorm marro nork oske prask quorr sande tolve tymb vint wexh zelk".split()
-FAMILY_TAILS = "adi andez ault eaux enko erman gate holt ilson ington lund mark ova over wyck".split()
-PARTICLES = "de la|de las|de los|van der|van den|von der|von und zu|al|bin|da|das|de|del|della|den|der|di|dos|du|el|la|le|ten|ter|van|von|zu|zum|zur".split("|")
-
-#: Letters with marks are read without them and in lower case, one for one, so that offsets stay.
-_MARKED, _PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýñç", "aaaaaaeeeeiiiiooooouuuuync"
-FOLD = str.maketrans(_MARKED + _MARKED.upper() + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", _PLAIN * 2 + "abcdefghijklmnopqrstuvwxyz")
-
-_any = "|".join
-_G = f"(?:{_any(GIVEN_HEADS)})(?:{_any(GIVEN_TAILS)})"
-_S = f"(?:{_any(FAMILY_HEADS)})(?:{_any(FAMILY_TAILS)})"
-_SS = rf"{_S}(?:-{_S})?"
-_W = r"[ \t  ​]{1,2}"
-_P = rf"(?:(?:{_any(sorted(PARTICLES, key=len, reverse=True))}){_W})"
-_I = rf"(?:[a-z]\.(?:{_W})?)"
-FAMILY = re.compile(_S)
-NAME = re.compile(rf"(?<![\w@.+'-])(?:(?:{_G}{_W}|{_I}){_I}{{0,2}}{_P}?{_SS}|{_P}?{_SS}(?:,{_W}|{_W}){_G}(?:{_W}[a-z]\.(?!\w))?)(?![\w@]|[-'.+_]\w)")
-#: A name begins at most so far before its first family name.
-_REACH = 80
-
-_U = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞİĶŁŃŇŐŒŘŚŞŠŤŪŮŰŸŹŻŽΑ-ΩА-ЯЁІЇЄ"
-_N = rf"(?:[{_U}][^\W\d_]+|[{_U}]['’][{_U}][^\W\d_]+)(?:['’-][^\W\d_]+)*"
-_J = rf"[{_U}]\.(?:{_W})?"
-_Q = rf"(?:(?i:{_any(sorted(PARTICLES, key=len, reverse=True))}){_W})"
-#: Capitalised words that begin no name.
-_NO_NAME = (
-    "Dear|Hi|Hello|Hey|Hallo|Lieber?|Geehrter?|Bonjour|Chère?|Hola|Estimad[oa]|Querid[oa]|Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Professor|Doctor|Herrn?|Frau|Monsieur|Madame|Mme|Mlle|Señora?|Sra?|Srta|Don|Doña|Sir|Thanks|Regards|Best|Cheers|Sincerely|Danke|Grüße|Merci|"
-    "Cordialement|Saludos|Gracias|The|This|That|These|A|An|And|Or|But|If|In|On|At|By|For|From|To|With|Our|My|Your|His|Her|Their|All|Team|Everyone|Every|Each|New|Old|Der|Die|Das|Ein|Eine|Le|La|Les|Un|Une|El|Los|Las|Una|Ask|Asked|Call|Note|See|Chapter|Section|"
-    "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December"
-)
-#: Words that no name ends in.
-_NO_FAMILY = "Team|Members?|All|Everyone|Group|Inc|Ltd|GmbH|LLC|Corp|University|School|Street|Road|Avenue|Lane|Drive|Playbook|Project|Service|Server|Platform|Department|Committee|Customer|Colleagues?|Map|Guide|Manual|Handbook|Library|Engine|Cloud|Data|Database"
-_NO_NAME, _NO_FAMILY = (f"{x}|{x.upper()}" for x in (_NO_NAME, _NO_FAMILY))
-SHAPE = re.compile(rf"(?<![\w@.+'’-])(?=((?:(?:{_N}{_W}|{_J})(?:{_J}){{0,2}}(?:{_N}{_W})?{_Q}?(?=[{_U}])(?!(?:{_NO_FAMILY})\b){_N}|{_Q}?{_N},{_W}(?=[{_U}])(?!(?:{_NO_NAME}|{_NO_FAMILY})\b)(?:{_N}|{_J}))(?:{_W}[{_U}]\.(?!\w))?)(?![\w@]|[-'.+_]\w))(?!(?:{_NO_NAME})\b)")
-_TITLES = "mrs?|ms|mx|miss|dr|prof|professor|doctor|dres|herrn?|frau|monsieur|madame|mme|mlle|señora?|sra?|srta|don|doña|dipl\\.-ing|ing"
-_ROLES = (
-    "(?:full |contact |person |customer |employee |patient |display |user )?name|full_name|display_name|person(?:_name)?|pers|field_pe|owner|author|assignee|assigned to|reviewer|reviewed by|contact|customer|patient|employee|manager|signed|signed by|approved by|created by|"
-    "ansprechpartner(?:in)?|bearbeiter(?:in)?|kund(?:e|in)|verantwortlich|auteur|nom|autor(?:a)?|nombre|responsable|contacto|attn|from|to|von|de|an|à"
-)
-_PHRASES = (
-    "(?:reviewed|written|signed|approved|authored|reported|prepared|filed) by|assigned to|according to|(?:spoke|speak|talk(?:ed)?|met|paired|checked) (?:with|to)|ask|asked|cc|attn|my name is|i am|contact|call|geprüft von|verfasst von|unterschrieben von|rückfragen an|"
-    "(?:ab|be)stimmt mit|gesprochen mit|ich heiße|mein name ist|relu par|écrit par|signé par|voir avec|parlé avec|je m['’]appelle|revisado por|escrito por|firmado por|pregunta a|hablé con|me llamo"
-)
-_GREETINGS = "dear|hi|hello|hey|hallo|liebe[rs]?|guten tag|sehr geehrte[rs]?|bonjour|chère?|hola|estimad[oa]|querid[oa]"
-_CLOSINGS = "thanks|thank you|many thanks|(?:kind |best |warm )?regards|best(?: wishes)?|yours(?: sincerely| truly| faithfully)?|sincerely|cheers|(?:viele |beste |liebe |mit freundlichen )?grü(?:ß|ss)en?|vg|mfg|danke|cordialement|bien à vous|merci|saludos(?: cordiales)?|un saludo|atentamente|gracias"
-BEFORE = re.compile(
-    rf"(?:(?<!\w)(?:{_TITLES})\.?{_W}|(?<!\w)(?:{_ROLES})[\"']?[ \t]?[:=][ \t]?[\"']?|(?<!\w)(?:{_PHRASES}|{_GREETINGS}){_W}|TODO\(|(?<!\w)(?:{_CLOSINGS})[,.!]?[ \t]*(?:\r?\n)+[ \t]*|(?:^|\n)--[ ]?\r?\n)\Z",
-    re.I,
-)
-AFTER = re.compile(rf"{_W}(?:wrote|said|told|asked|replied|schrieb|sagte|meinte|a écrit|a dit|escribió|dijo)(?!\w)")
-#: Given names that are common where the languages of the texts are spoken; with one in front, two capitalised words are a name anywhere.
-GIVEN = frozenset(
-    "adam adrian agnes alain albert alejandro alessandro alexander alfred alice alicia amanda amelie ana andrea andreas andrew angela anita anja anna anne annette anthony antoine antonio arthur astrid barbara beatriz benjamin bernard bernd birgit brian brigitte camille carl carla "
-    "carlos carmen carol caroline catherine cecile charles charlotte chloe christian christina christine christoph christopher clara claire claudia claude cristina daniel daniela david deborah denis diana diego dieter dominique donald dorothy edward elena eleanor elisabeth elizabeth "
-    "ella emily emma enrique eric erik ernst esther eva fatima felix fernando florian francisco francois frank franz frederic friedrich gabriel george gerard gerhard giulia gisela gloria guillaume gunter hannah hans harald heike heinrich helen helena helga henri henry "
-    "herbert holger hugo ines ingrid isabel isabelle ivan jack jacob jacques james jan jana jane javier jean jennifer jens jessica joachim joan johann johannes john jonas jonathan jorge jose josef joseph joshua juan judith julia julie julien jurgen karen karin karl katharina "
-    "katherine kathrin kenneth kevin klaus kristina lars laura laurent lea lena leon linda lisa louis louise lucas lucia lucie luis lukas manfred manuel manuela marc marcel marco margaret maria marianne marie marina mario mark markus marta martha martin martina mary "
-    "mateo matthew matthias max maximilian mercedes michael michel michelle miguel mohammed monica monika nadia nathalie nicholas nicolas nicole nina nora olga oliver olivia olivier oscar pablo pamela pascal patricia patrick paul paula pauline pedro peter petra philip "
-    "philippe pierre pilar rachel rafael rainer ralf raquel raul rebecca renate ricardo richard rita robert roberto roger roland rosa ruth ryan sabine samuel sandra sara sarah sebastian sergio silvia simon simone sofia sonia sophia sophie stefan stefanie stephan stephanie "
-    "stephen steven susan susanne sven sylvia tanja teresa theresa thomas tim timothy tobias tom ulrich ulrike ursula uwe valerie vanessa vera veronica victor victoria vincent walter werner wilhelm william wolfgang yvonne zoe".split()
-)
+from quillstone.llm.names import BROADCAST_WORDS, FOLD, NONE, Lexicon, find_names, learn, with_lexicon
 
 _AT = r"(?:[  ]?@[  ]?|[  ]?[\[({]\s?(?:at|arroba)\s?[\])}][  ]?|[  ]at[  ]|&#64;|&#x40;|%40|＠)"
 _DOT = r"(?:\.|[  ]?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}][  ]?|[  ]dot[  ])"
@@ -137,11 +74,13 @@ _CAP = r"[^\W\d_][\w'’-]*"
 _NO = r"\d{1,4}(?:[  ]?[A-Za-z](?![\w]))?"
 _EN_WORDS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Drive|Dr|Close|Crescent|Terrace|Way|Square|Sq|Place|Pl|Boulevard|Blvd|Row|Mews"
 _EN = f"(?:{_EN_WORDS}|{_EN_WORDS.upper()})"
+#: Words that make a compound with the word for a street (road map, square root, court order), which then is none.
+_COMPOUND = "maps?|views?|works|blocks?|orders?|cases?|roots?|feet|foot|met(?:er|re)s?|counts?|points?|buttons?|brackets?|letters?|names?|shafts?|trains?|tests?"
 #: For each language, words of which one must be in a text before it is searched, and the pattern.
 STREETS = tuple(
     (words, re.compile(pattern))
     for words, pattern in (
-        ((), rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]))?)(?![  ](?:map|maps|block|works)\b)"),
+        ((), rf"(?<![\w.,\-/])\d{{1,4}}[A-Za-z]?[  ](?:(?:Old|New|Upper|Lower|Great|Little|North|South|East|West|[NSEW]\.)[  ])?[A-Z]{_CAP}(?:[  ][A-Z]{_CAP})?[  ](?:{_EN}(?![\w])(?:(?<=Ave)\.|(?<!et|ad|ne|ue|rt)\.(?=[.,;\"')]))?)(?![  ](?:{_COMPOUND})\b)"),
         (("straße", "strasse", "str.", "gasse", "allee", "platz", "Platz", "Ring", "Weg", "Ufer", "Damm", "Straße", "Allee", "Markt", "straÃ", *(w + gap for w in ("weg", "ufer", "damm", "ring", "Tor", "Am", "An der", "Auf der", "Im", "In der", "Zum", "Zur") for gap in " \xa0")), rf"(?<![\w-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ufer|damm|ring|straÃ\x9fe)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)[  ][A-ZÄÖÜ][\wäöüß-]*(?:[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))?|[A-ZÄÖÜ][\wäöüß-]*er[  ](?:Platz|Ring|Weg|Ufer|Damm|Straße|Allee|Tor|Markt))[  ]\d{{1,4}}[  ]?(?:[a-zA-Z](?![\w]))?"),
         (("rue ", "boulevard ", "bd ", "avenue ", "av. ", "place ", "chemin ", "allée ", "allee ", "impasse ", "quai ", "cours ", "route ", "square ", "\xa0"), rf"(?<![\w.\-/])\d{{1,4}}(?:[  ](?:bis|ter|quater))?,?[  ](?:rue|boulevard|bd|avenue|av\.|place|chemin|allée|allee|impasse|quai|cours|route|square)[  ](?:(?:de la|de l['’]|des|du|de|d['’])[  ]?)?(?:la[  ])?[A-ZÀ-Ý][\w'’-]*"),
         (("Calle", "C/", "Plaza", "Pza.", "Avenida", "Avda.", "Av.", "Paseo", "Pº", "Camino", "Ronda", "Travesía"), rf"(?<![\w-])(?:Calle|C/|Plaza|Pza\.|Avenida|Avda\.|Av\.|Paseo|Pº|Camino|Ronda|Travesía)[  ]?(?:(?:de la|de los|de las|del|de)[  ])?[A-ZÀ-Ý][\w'’-]*,?[  ](?:(?:nº|n\.º|núm\.|n°|no\.)[  ]?)?\d{{1,4}}(?:[  ]?[A-Za-z](?![\w]))?"),
@@ -150,7 +89,7 @@ STREETS = tuple(
 _CHAPTER = re.compile(r"(?:chapter|section|part|page|figure|table|kapitel|chapitre|capítulo)[  ]$", re.I)
 _DIGIT = re.compile(r"\d")
 
-ORDER = {k: i for i, k in enumerate(("email", "street_address", "national_id", "phone", "person_name"))}
+ORDER = {k: i for i, k in enumerate(("email", "birth_date", "street_address", "national_id", "phone", "person_name"))}
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -188,31 +127,7 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def _shaped(text: str) -> Iterator[tuple[int, int]]:
-    """Capitalised words that their surroundings or a common given name make a name."""
-    done = 0
-    for m in SHAPE.finditer(text):
-        a, b = m.span(1)
-        if a < done:
-            continue
-        known = any(w in GIVEN for w in re.split(r"[\s,-]+", text[a:b].translate(FOLD))[: None if "," in m[1] else 1])
-        if known or BEFORE.search(text, max(0, a - 40), a) or AFTER.match(text, b):
-            yield a, b
-            done = b
-
-
-def _names(text: str) -> Iterator[tuple[int, int]]:
-    plain, done = text.lower() if text.isascii() else text.translate(FOLD), 0
-    for family in FAMILY.finditer(plain):
-        if family.start() < done:
-            continue
-        m = NAME.search(plain, max(done, family.start() - _REACH), family.end() + _REACH)
-        if m:
-            yield m.span()
-            done = m.end()
-
-
-def find(text: str | None) -> list[tuple[int, int, str]]:
+def find(text: str | None, lexicon: Lexicon = NONE, *, dates: bool = False) -> list[tuple[int, int, str]]:
     """``(start, end, type)`` of every finding, by start; findings don't overlap. Where they would, the earlier of ``ORDER`` stays."""
     if not text:
         return []
@@ -221,9 +136,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         out += [(a, b, "street_address") for a, b in _streets(text)]
         out += [(m.start(), m.end(), "national_id") for m in NATIONAL.finditer(text)]
         out += [(a, b, "phone") for a, b in _phones(text)]
-    names = list(_names(text))
-    out += [(a, b, "person_name") for a, b in names]
-    out += [(a, b, "person_name") for a, b in _shaped(text) if not any(c < b and a < d for c, d in names)]
+        out += [(*m.span("day"), "birth_date") for m in BIRTH.finditer(text)] if dates else []
+    out += [(a, b, "person_name") for a, b in find_names(text, lexicon)]
     kept: list[tuple[int, int, str]] = []
     for f in sorted(out, key=lambda f: (ORDER[f[2]], f[0])):
         at = bisect_left(kept, f)
@@ -283,55 +197,177 @@ def normal(kind: str, value: str) -> str:
 TWO_DIGIT = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
-def pseudonym(kind: str, value: str, key: bytes) -> str:
-    if kind not in ("phone", "national_id"):
-        return _code(f"{kind}|{normal(kind, value)}", key)
-    keep = 0
-    if value.startswith("+"):  # the country code stays
-        keep = 1 if value[1] in "17" else 2 if value[1:3] in TWO_DIGIT else 3
-    digits = "".join(c for c in value if c.isdigit())
-    new = iter(digits[:keep] + permute_digits(digits[keep:], key, kind))
+def _walk(digits: str, key: bytes, tweak: str, valid: Callable[[str], bool]) -> str:
+    """The permutation confined to the digit strings for which ``valid`` is what it is for these: applied until one comes out."""
+    want, new = valid(digits), permute_digits(digits, key, tweak)
+    while valid(new) != want:
+        new = permute_digits(new, key, tweak)
+    return new
+
+
+def _refill(value: str, digits: str) -> str:
+    new = iter(digits)
     return "".join(next(new) if c.isdigit() else c for c in value)
 
 
-def redact(text: str | None, key: bytes) -> str | None:
+def _phone(value: str, key: bytes) -> str:
+    """Country code, trunk zero and signs stay; the first digit behind them stays one that may stand there."""
+    digits = "".join(c for c in value if c.isdigit())
+    abroad = value.startswith("+") or digits.startswith("00")
+    begin = 2 if digits.startswith("00") else 0
+    keep = begin + (1 if digits[begin] in "17" else 2 if digits[begin : begin + 2] in TWO_DIGIT else 3) if abroad else int(digits[0] == "0")
+    if "(0)" in value and digits[keep : keep + 1] == "0":
+        keep += 1
+    rest, code = digits[keep:], digits[begin:keep]
+    if (code == "1" if abroad else not keep) and len(rest) == 10:  # area and exchange begin with 2 to 9
+        return _refill(value, digits[:keep] + _walk(rest, key, "phone", lambda d: d[0] not in "01" and d[3] not in "01"))
+    return _refill(value, digits[:keep] + _walk(rest, key, "phone", lambda d: d[:1] != "0"))
+
+
+#: The control letters of Spanish identity numbers, by the number's rest modulo 23.
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def dni_letter(number: int) -> str:
+    return DNI_LETTERS[number % 23]
+
+
+def nir_key(body: str) -> int:
+    """The control key of a French identity number's first 13 signs."""
+    return 97 - int(body.replace("2A", "19").replace("2B", "18")) % 97
+
+
+def _issued(digits: str) -> bool:
+    """Whether a US social security number's parts are of ranges that are issued."""
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def _national(value: str, key: bytes) -> str:
+    """Digits permuted within what the format allows; control letters and keys are those of the new number where they were those of the old."""
+    signs = "".join(c for c in value if c.isalnum())
+    digits = "".join(c for c in value if c.isdigit())
+    if len(signs) == 9 and len(digits) in (7, 8) and signs[-1].isalpha() and (digits == signs[:8] or signs[0] in "XYZ" and digits == signs[1:8]):
+        lead = str("XYZ".index(signs[0])) if signs[0] in "XYZ" else ""
+        new = permute_digits(digits, key, "national_id")
+        shift = (DNI_LETTERS.index(signs[-1]) - int(lead + digits)) % 23 if signs[-1] in DNI_LETTERS else None
+        letter = signs[-1] if shift is None else DNI_LETTERS[(int(lead + new) + shift) % 23]
+        at = len(value) - 1
+        return _refill(value[:at], new) + letter
+    if len(signs) in (13, 15) and signs[0] in "12" and (digits == signs or signs[6] in "AB"):
+        body, old = signs[:13], signs[13:]
+        stay = {0, 5, 6} if body[6] in "AB" else {0}  # the sex, and the departments that have a letter; year and month of birth lead the rest
+        free = "".join(c for i, c in enumerate(body) if i not in stay)
+        new = iter(_walk(free, key, "national_id", lambda d: 1 <= int(d[2:4]) <= 12))
+        changed = "".join(c if i in stay else next(new) for i, c in enumerate(body))
+        right = f"{nir_key(changed):02d}"
+        tail = old and (right if int(old) == nir_key(body) else _walk(old, key, "key", lambda d: d == right))
+        put = iter(changed + tail)
+        return "".join(next(put) if c.isalnum() else c for c in value)
+    if len(signs) == 9 and digits == signs:
+        return _refill(value, _walk(digits, key, "national_id", _issued))
+    return _refill(value, permute_digits(digits, key, "national_id"))
+
+
+FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), 73049
+#: Dates of birth behind their label; only where ``dates`` is asked for.
+BIRTH = re.compile(r"(?<!\w)(?:born(?: on)?|dob|date of birth|birth ?date|geboren(?: am)?|geb\.|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[ \t:=]*(?P<day>(?P<y>\d{4})-(?P<m>\d\d)-(?P<d>\d\d)|(?P<d2>\d\d?)(?P<sep>[./])(?P<m2>\d\d?)(?P=sep)(?P<y2>\d{4}))(?!\d)", re.I)
+
+
+def permute_date(day: date, key: bytes) -> date:
+    """A keyed permutation of the days of 1900 to 2099; other days stay."""
+    n = day.toordinal() - FIRST_DAY
+    return date.fromordinal(FIRST_DAY + int(_walk(f"{n:05d}", key, "date", lambda d: int(d) < DAYS))) if 0 <= n < DAYS else day
+
+
+def _birth_date(value: str, key: bytes) -> str:
+    """The permuted day in the form of the old one; what names no day gets a code."""
+    numbers = re.split(r"[./-]", value)
+    first = len(numbers[0]) == 4
+    try:
+        new = permute_date(date(*map(int, numbers if first else numbers[::-1])), key)
+    except ValueError:
+        return _code(f"birth_date|{value}", key)
+    sep = "-" if first else "." if "." in value else "/"
+    return new.isoformat() if first else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year:04d}"
+
+
+_FORMATS = {"phone": _phone, "national_id": _national, "birth_date": _birth_date}
+
+
+def pseudonym(kind: str, value: str, key: bytes) -> str:
+    return _FORMATS[kind](value, key) if kind in _FORMATS else _code(f"{kind}|{normal(kind, value)}", key)
+
+
+def redact(text: str | None, key: bytes, lexicon: Lexicon = NONE, *, dates: bool = False) -> str | None:
     """The text with each finding replaced by ``[type:pseudonym]``; all else stays as it was."""
     if not text:
         return text
     out, at = [], 0
-    for start, end, kind in find(text):
+    for start, end, kind in find(text, lexicon, dates=dates):
         out += [text[at:start], f"[{kind}:{pseudonym(kind, text[start:end], key)}]"]
         at = end
     return "".join([*out, text[at:]])
 
 
-def _findings(key: bytes):
+def _texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def findings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes = b"", dates: bool = False, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``doc_id, pii_type, pii_value, start, end, pseudonym``: every finding; the pseudonym is null without a key.
+
+    The lexicon of names is learned from all these documents first, in a scan of its own.
+
+    * Null ids and null texts have none. Repeated rows repeat their findings. Other columns are not read.
+    * ``dates`` also finds dates of birth behind their label, as type ``birth_date``.
+    """
+    rows, held = with_lexicon(known := _texts(documents, doc_id, text).where("doc_id is not null and text is not null"), learn(known.select("text")), broadcast_words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(doc, kind, text[a:b], a, b, pseudonym(kind, text[a:b], key) if key else None) for a, b, kind in find(text)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
+            out: list[tuple] = []
+            for doc, text, lexicon in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held(batch)):
+                out += [(doc, kind, text[a:b], a, b, pseudonym(kind, text[a:b], key) if key else None) for a, b, kind in find(text, lexicon, dates=dates)]
+            cols = list(zip(*out)) if out else [[]] * 6
             types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "pii_type", "pii_value", "start", "end", "pseudonym"])
 
-    return run
+    return rows.mapInArrow(run, "doc_id long, pii_type string, pii_value string, start int, end int, pseudonym string")
 
 
-def findings(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes = b"") -> DataFrame:
-    """``doc_id, pii_type, pii_value, start, end, pseudonym``: every finding; the pseudonym is null without a key.
+def redacted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes, dates: bool = False, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """``doc_id, text`` with placeholders; a null text stays null, and every row of the input gives one row. The lexicon as in ``findings``."""
+    known = _texts(documents, doc_id, text)
+    rows, held = with_lexicon(known, learn(known.where("doc_id is not null").select("text")), broadcast_words)
 
-    Null ids and null texts have none. Repeated rows repeat their findings. Other columns are not read.
-    """
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(_findings(key), "doc_id long, pii_type string, pii_value string, start int, end int, pseudonym string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redact(t, key, x, dates=dates) for t, x in zip(batch.column(1).to_pylist(), held(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def redacted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", *, key: bytes) -> DataFrame:
-    """``doc_id, text`` with placeholders; a null text stays null, and every row of the input gives one row."""
+def restored(redacted: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, text``: the redacted texts with the values of ``findings`` (made with the same key) in their old places again.
+
+    For ids that are unique. A document without findings stays as it is. Raises where a placeholder is not where it should be.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([redact(t, key) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
-
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, text string")
+            out: list[str | None] = []
+            for text, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                parts, at, gone = [], 0, 0  # gone: by how much the redacted text is longer so far
+                for v in sorted(values or (), key=lambda v: v["start"]):
+                    mark = f"[{v['pii_type']}:{v['pseudonym']}]"
+                    start = v["start"] + gone
+                    if not text.startswith(mark, start):
+                        raise ValueError(f"no placeholder {mark} at {start}")
+                    parts += [text[at:start], v["pii_value"]]
+                    at, gone = start + len(mark), gone + len(mark) - len(v["pii_value"])
+                out.append("".join([*parts, text[at:]]) if parts else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+
+    values = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "pii_type", "pii_value", "pseudonym")).alias("found"))
+    return redacted.select("doc_id", "text").join(values, "doc_id", "left").mapInArrow(run, "doc_id long, text string")

@@ -69,7 +69,13 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(_table(spark, folder, "documents"), key=TEST_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found, p8_found, p8_redacted)}
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The redacted texts with the values put back: outside its placeholders no text has changed."""
+    documents = _table(spark, folder, "documents")
+    return pii.restored(pii.redacted(documents, key=TEST_KEY), pii.findings(documents, key=TEST_KEY))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found, p8_found, p8_redacted, p8_restored)}
 _SETS = r"""
     words AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM drawers) WHERE id IS NOT NULL AND content IS NOT NULL),
     sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
@@ -89,6 +95,7 @@ _OVERLAPS = r"""
     """
 
 SQL: dict[str, str] = {
+    "p8_restored": "SELECT doc_id, text FROM documents",
     "p1_found": """
         WITH v AS (
             SELECT DISTINCT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM drawers

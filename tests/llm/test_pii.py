@@ -6,14 +6,14 @@ from quillstone.llm import pii
 
 KEY = b"secret"
 CASES = [
-    ("Reviewed by Palisse Ilveenko last week.", "person_name", "Palisse Ilveenko"),
-    ("According to Dr. Mitash de Kestrova the fix holds", "person_name", "Mitash de Kestrova"),
-    ("cc KESTRENKO-VINTMARK, HEROS", "person_name", "KESTRENKO-VINTMARK, HEROS"),
-    ("owner = R. Marroerman-Dunmerman", "person_name", "R. Marroerman-Dunmerman"),
-    ("T. M. Nörkérmán came", "person_name", "T. M. Nörkérmán"),
-    ("[p](mailto:zan.wexh+q@lab.halde.test)", "email", "zan.wexh+q@lab.halde.test"),
+    ("Reviewed by Tomke Radulov last week.", "person_name", "Tomke Radulov"),
+    ("According to Dr. Isaura de Quental the fix holds", "person_name", "Isaura de Quental"),
+    ("cc OYELARAN-BECK, TUNDE", "person_name", "OYELARAN-BECK, TUNDE"),
+    ("owner = R. Achterberg-Szabo", "person_name", "R. Achterberg-Szabo"),
+    ("reviewed by T. M. Sjöbérgh", "person_name", "T. M. Sjöbérgh"),
+    ("[p](mailto:zan.web+q@lab.field.test)", "email", "zan.web+q@lab.field.test"),
     ("to <a_b (at) example (dot) org>.", "email", "a_b (at) example (dot) org"),
-    ("ereros.lormgate @ mail.example;", "email", "ereros.lormgate @ mail.example"),
+    ("tomke.radulov @ mail.example;", "email", "tomke.radulov @ mail.example"),
     ("Phone=+44 (0)7700 900 539;", "phone", "+44 (0)7700 900 539"),
     ("dial (303) 555.0109 ext. 4", "phone", "(303) 555.0109"),
     ("01.99.00.40.69", "phone", "01.99.00.40.69"),
@@ -44,7 +44,7 @@ def test_not_found(text):
 
 
 def test_email_hides_the_name():
-    assert [k for _, _, k in pii.find("talisse.haldegate @ inbox.example.org")] == ["email"]
+    assert [k for _, _, k in pii.find("isaura.quental @ inbox.example.org")] == ["email"]
 
 
 @settings(deadline=None)
@@ -59,11 +59,11 @@ def test_permutation_is_one_to_one():
 
 
 def test_placeholders_link_and_keep_the_rest():
-    text = "Call +44 20 7946 0783 or Bela; ask Ilveenko, Palisse.\r\n  Palisse Ilveenko, +44 20 7946 0783"
+    text = "Call +44 20 7946 0783 or Bela; name: Radulov, Tomke.\r\n  Dr. Tomke Radulov, +44 20 7946 0783"
     out = pii.redact(text, KEY)
     phone = pii.pseudonym("phone", "+44 20 7946 0783", KEY)
-    name = pii.pseudonym("person_name", "Palisse Ilveenko", KEY)
-    assert out == f"Call [phone:{phone}] or Bela; ask [person_name:{name}].\r\n  [person_name:{name}], [phone:{phone}]"
+    name = pii.pseudonym("person_name", "Tomke Radulov", KEY)
+    assert out == f"Call [phone:{phone}] or Bela; name: [person_name:{name}].\r\n  Dr. [person_name:{name}], [phone:{phone}]"
     assert phone.startswith("+44 ") and phone != "+44 20 7946 0783" and len(phone) == 16
     assert pii.pseudonym("phone", "+44 20 7946 0783", b"other") != phone
     assert pii.redact(None, KEY) is None and pii.redact("nothing", KEY) == "nothing"
@@ -110,3 +110,120 @@ def test_country_code_of_three_digits_stays():
 @pytest.mark.parametrize("value", [a.replace(" ", "\xa0") if "der" not in a else a.replace(" B", "\xa0B").replace(" 3", "\xa03") for a in ("Lindenweg 5", "Nordufer 5", "Altdamm 5", "Südring 5", "Am Bach 3", "Im Bach 3", "Zum Bach 3", "Zur Bach 3", "An der Bach 3", "Auf der Bach 3", "In der Bach 3", "Berliner Tor 3")])
 def test_german_streets_with_no_break_spaces_alone(value):
     assert [(k, t) for a, b, k in pii.find(f"wohnt {value}") for t in [f"wohnt {value}"[a:b]]] == [("street_address", value)]
+
+
+ORDINARY = {
+    "I spoke to John Smith about it.": ["John Smith"],
+    "Signed by Maria García-López today": ["Maria García-López"],
+    "Angela Merkel opened the fair.": ["Angela Merkel"],
+    "My name is Jean-Luc Picard.": ["Jean-Luc Picard"],
+    "cc Wei Zhang, please": ["Wei Zhang"],
+    "Dr. Priya Patel and Emma Müller came": ["Priya Patel", "Emma Müller"],
+    "written by J. R. R. Tolkien.": ["J. R. R. Tolkien"],
+    "| Oluwaseun Adeyemi | oadeyemi@mail.example |": ["Oluwaseun Adeyemi"],
+}
+
+
+@pytest.mark.parametrize("text", ORDINARY)
+def test_ordinary_names(text):
+    assert [text[a:b] for a, b, k in pii.find(text) if k == "person_name"] == ORDINARY[text]
+
+
+def _made(rnd, n):
+    """Names of random letters, so that none is in any list."""
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4))).capitalize()
+    return [word() for _ in range(n)], [word() + rnd.choice("nrstk") for _ in range(n)]
+
+
+def _corpus(seed, docs):
+    """Texts with names of unknown parts, most of them with surroundings that say so, and other capitalised words. ``(text, names)`` each."""
+    import random
+
+    rnd = random.Random(seed)
+    given_, family = _made(rnd, 40)
+    things, more = _made(rnd, 40)
+    sure = ["Reviewed by {} today.", "Dear {},\nthe build is green.", "author: {}\n", "Kind regards,\n{}", "{} said so.", "I asked Dr. {} for it."]
+    bare = ["Later {} came back.", "We saw {} in the hall.", "That was {} again."]
+    forms = [lambda g, f: f"{g} {f}", lambda g, f: f"{g} {f}".upper(), lambda g, f: f"{f}, {g}", lambda g, f: f"{g} K. {f}", lambda g, f: f"{g} van {f}"]
+    out = []
+    for _ in range(docs):
+        names, text = [], ""
+        for _ in range(3):
+            name = rnd.choice(forms)(rnd.choice(given_), rnd.choice(family))
+            names.append(name)
+            text += rnd.choice(sure if rnd.random() < 0.6 else bare).format(name) + "\n"
+            text += f"The {rnd.choice(things)} {rnd.choice(more)} is slow. We opened {rnd.choice(things)} {rnd.choice(more)} there.\n"
+        out.append((text, names))
+    return out
+
+
+def test_names_of_parts_in_no_list_are_learned(spark):
+    docs = _corpus(7, 400)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    want = {(i, n) for i, (_, names) in enumerate(docs) for n in names}
+    got = {(r.doc_id, r.pii_value) for r in pii.findings(df).where("pii_type = 'person_name'").collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
+    joined = {(r.doc_id, r.pii_value) for r in pii.findings(df, broadcast_words=0).where("pii_type = 'person_name'").collect()}
+    assert joined == got  # the way of large lexicons
+    alone = {(i, t[a:b]) for i, (t, _) in enumerate(docs) for a, b, k in pii.find(t) if k == "person_name"}
+    assert len(alone & want) < 0.8 * len(want)  # it is the lexicon that finds the others
+
+
+def test_lower_case_names_of_the_lexicon(spark):
+    rows = [(i, "Reviewed by Ozan Kirvel today.") for i in range(3)] + [(9, "then ozan kirvel and kirvel ozan, OZAN KIRVEL; Ozankirvel no")]
+    found = pii.findings(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 9").collect()
+    assert [r.pii_value for r in sorted(found, key=lambda r: r.start)] == ["ozan kirvel", "kirvel ozan", "OZAN KIRVEL"]
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 99_999_999))
+def test_validity_of_control_letters_stays(n):
+    right = f"{n:08d}{pii.dni_letter(n)}"
+    new = pii.pseudonym("national_id", right, KEY)
+    assert pii.dni_letter(int(new[:8])) == new[8]
+    wrong = f"{n:08d}{pii.dni_letter(n + 1)}"
+    new = pii.pseudonym("national_id", wrong, KEY)
+    assert pii.dni_letter(int(new[:8])) != new[8]
+    assert pii.pseudonym("national_id", f"X-{n % 10**7:07d}-{pii.dni_letter(n % 10**7)}", KEY)[-1] == pii.dni_letter(int(pii.pseudonym("national_id", f"X-{n % 10**7:07d}-{pii.dni_letter(n % 10**7)}", KEY)[2:9]))
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.integers(0, 99), st.integers(1, 12), st.integers(0, 99_999_999), st.sampled_from(["", "2A", "2B"]))
+def test_validity_of_keys_and_birth_months_stays(year, month, rest, corsica):
+    body = f"1{year:02d}{month:02d}" + (corsica + f"{rest:08d}"[:6] if corsica else f"{rest:08d}")
+    new = pii.pseudonym("national_id", f"{body}{pii.nir_key(body):02d}", KEY)
+    assert len(new) == 15 and new[0] == "1" and 1 <= int(new[3:5]) <= 12 and pii.nir_key(new[:13]) == int(new[13:])
+    assert not corsica or new[5:7][1] == corsica[1]
+
+
+def test_social_security_numbers_of_unissued_ranges_stay_so():
+    for value in ("000-12-1327", "900-11-2222", "666-01-0001"):
+        assert not pii._issued("".join(c for c in pii.pseudonym("national_id", value, KEY) if c.isdigit()))
+    assert pii._issued(pii.pseudonym("national_id", "123-45-6789", KEY).replace("-", ""))
+
+
+def test_phones_keep_trunk_and_country():
+    new = pii.pseudonym("phone", "+1 (303) 555-0109", KEY)
+    assert new.startswith("+1 (") and new[4] not in "01" and new[9] not in "01"
+    assert pii.pseudonym("phone", "030 901820", KEY).startswith("0")
+    assert len({pii.pseudonym("phone", f"0{i}", KEY) for i in range(10, 100)}) == 90
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dates(min_value=__import__("datetime").date(1900, 1, 1), max_value=__import__("datetime").date(2099, 12, 31)))
+def test_dates_are_permuted_among_days(day):
+    assert 1900 <= pii.permute_date(day, KEY).year <= 2099
+    assert pii.pseudonym("birth_date", f"{day:%d.%m.%Y}", KEY) == f"{pii.permute_date(day, KEY):%d.%m.%Y}"
+
+
+def test_birth_dates_on_demand():
+    text = "born 1987-03-14, geboren am 14.03.1987; released 2020-01-01; dob: 31.02.1990"
+    assert pii.find(text) == []
+    assert [text[a:b] for a, b, _ in pii.find(text, dates=True)] == ["1987-03-14", "14.03.1987", "31.02.1990"]
+    assert pii.redact(text, KEY, dates=True).count("birth_date") == 3
+
+
+def test_restored_is_the_text(spark):
+    rows = [(1, "Ask John Smith at a.b@example.org, +49 30 901820, [phone:1] \U0001f600 Dr. Emma Kirvel"), (2, None), (3, ""), (4, "nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in pii.restored(pii.redacted(df, key=KEY), pii.findings(df, key=KEY)).collect()} == set(rows)
