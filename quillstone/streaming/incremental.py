@@ -1,11 +1,16 @@
 """Processing only what is new or changed since the last successful run.
 
-The target is the state. Every output row carries its source key and the version it was
-made from, and every target version holds the checkpoints of its sources. A run
-anti-joins the source against the target it read, writes the new rows and checkpoints to
-folders nobody reads yet, and publishes them by renaming one manifest into place. A run
-that fails before the rename has changed nothing; one that fails after it finds nothing
-left to do. Two runs on the same version can't both publish: the second rename fails.
+The target is the state. Every output row carries its source key and the version of the
+source it was made from. A run finds out which version of each source it has before it
+(the one the target knows, if the bytes before the target's offset still are the same;
+a new one otherwise) and anti-joins the source's records against the target's rows on
+key, version and place. New rows and checkpoints go to folders nobody reads yet and are
+published by renaming one manifest into place. A run that fails before the rename has
+changed nothing; one that fails after it finds nothing left to do. Two runs on the same
+version can't both publish: the second rename fails.
+
+Where only checkpoints of the target are at hand (``pending``), they stand for its rows:
+a checkpoint of version v covers the places before its offset.
 """
 
 from __future__ import annotations
@@ -15,12 +20,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.fingerprint import TAIL, fnv1a_hex
+from quillstone.functions.fingerprint import BASIS, TAIL, fnv1a_hex
 from quillstone.plans.staging import stage
 from quillstone.sources.manifest import Manifests
 
 FILE = ["adapter", "source_key"]
-STATE = "adapter string, source_key string, source_path string, file_size long, modified_ns long, byte_offset long, fingerprint string"
+EMPTY = f"{BASIS:016x}"
+STATE = "adapter string, source_key string, source_path string, file_size long, modified_ns long, byte_offset long, fingerprint string, version string"
 DONE = "adapter string, source_key string, start_byte long, raw_line string, version string"
 
 
@@ -48,61 +54,57 @@ def listed_files(files: DataFrame) -> DataFrame:
     return files.where("adapter is not null and source_key is not null").groupBy(*FILE).agg(last.alias("f")).select(*FILE, "f.source_path", "f.file_size", "f.modified_ns")
 
 
-def fingerprints(records: DataFrame, offsets: DataFrame) -> DataFrame:
-    """``adapter, source_key, byte_offset, present``: the hash of the at most 4,096 bytes before each offset.
+def _prints(lines: DataFrame) -> DataFrame:
+    """``adapter, source_key, present``: of records that carry their file's ``byte_offset``, the hash of the at most 4,096 bytes before it.
 
-    ``present`` is null where the records don't hold all of these bytes. Only the bytes needed are gathered, so a file
-    of any length gives one row of at most 4,096 bytes.
+    Files whose records don't hold all of these bytes have no row, and neither has an offset of 0. Only the bytes needed
+    are gathered, so a file of any length gives one row of at most 4,096 bytes.
     """
-    first, size = F.greatest(F.col("byte_offset") - TAIL, F.lit(0)), F.col("bytes")
-    lines = records.select(*FILE, "start_byte", (F.octet_length("raw_line") + F.col("has_newline").cast("int")).alias("bytes"), "raw_line", "has_newline")
-    lines = lines.join(offsets.select(*FILE, "byte_offset"), FILE).where((F.col("start_byte") < F.col("byte_offset")) & (F.col("start_byte") + size > first))
+    first, size = F.greatest(F.col("byte_offset") - TAIL, F.lit(0)), F.octet_length("raw_line") + F.col("has_newline").cast("int")
+    lines = lines.where((F.col("start_byte") < F.col("byte_offset")) & (F.col("start_byte") + size > first))
     begin = F.greatest(first - F.col("start_byte"), F.lit(0))
     length = F.least(F.col("byte_offset") - F.col("start_byte"), size) - begin
     whole = F.concat(F.encode("raw_line", "UTF-8"), F.when(F.col("has_newline"), F.encode(F.lit("\n"), "UTF-8")).otherwise(F.encode(F.lit(""), "UTF-8")))
     part = F.substring(whole, (begin + 1).cast("int"), length.cast("int"))
-    lines = lines.select(*FILE, "byte_offset", F.struct("start_byte", part.alias("part")).alias("p"), length.alias("n"))
-    tails = lines.groupBy(*FILE, "byte_offset").agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("n").alias("n"))
-    tails = offsets.select(*FILE, "byte_offset").join(tails, [*FILE, "byte_offset"], "left")
-    wanted = F.least(F.col("byte_offset"), F.lit(TAIL))
-    hashed = tails.select(*FILE, "byte_offset", fnv1a_hex(F.col("p.part")).alias("h"), F.coalesce("n", F.lit(0)).alias("n"))
-    return hashed.select(*FILE, "byte_offset", F.when(F.col("n") == wanted, F.col("h")).alias("present"))
+    lines = lines.select(*FILE, (F.col("byte_offset") - first).alias("wanted"), F.struct("start_byte", part.alias("part")).alias("p"), length.alias("n"))
+    tails = lines.groupBy(*FILE).agg(F.array_sort(F.collect_list("p")).alias("p"), F.sum("n").alias("n"), F.first("wanted").alias("wanted")).where("n = wanted")
+    return tails.select(*FILE, fnv1a_hex(F.col("p.part")).alias("present"))
 
 
-def read_from(files: DataFrame, records: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """``adapter, source_key, ..., upto, version``: for each listed file how far the target covers it, and as which version.
+def with_versions(files: DataFrame, records: DataFrame, checkpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of listed files, and ``adapter, source_key, present``: the source's version at the target's offset.
 
-    A checkpoint holds if its offset lies within the file and its fingerprint is that of the present bytes; ``version``
-    is then the fingerprint. Otherwise ``upto`` is 0 and ``version`` null.
+    Records carry ``byte_offset`` of the file's checkpoint, null where it has none within the file.
     """
-    known = files.join(checkpoints, FILE).where("byte_offset between 0 and file_size")
-    present = fingerprints(records, known)
-    held = known.join(present, [*FILE, "byte_offset"]).where(F.col("present") == F.col("fingerprint")).select(*FILE, F.col("byte_offset").alias("upto"), F.col("fingerprint").alias("version"))
-    return files.join(held, FILE, "left").withColumn("upto", F.coalesce("upto", F.lit(0)))
+    known = files.select(*FILE, "file_size").join(checkpoints.select(*FILE, "byte_offset"), FILE, "left")
+    known = known.select(*FILE, F.when(F.col("byte_offset").between(0, F.col("file_size")), F.col("byte_offset")).alias("byte_offset"))
+    lines = records.join(known, FILE)
+    return lines, _prints(lines.where("byte_offset > 0"))
 
 
 def pending(files: DataFrame, records: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Records that the next run must process: complete, not blank, of a listed file, and not covered by the target.
 
     ``adapter, source_key, start_byte, raw_line``. Takes the outputs of ``listed_files``, ``latest_records`` and
-    ``latest_checkpoints``. The anti-join's key is the source key with the version, its range the covered bytes: rows
-    of another version of the file don't cover anything.
+    ``latest_checkpoints``. The version on the source's side is the fingerprint of its present bytes before the target's
+    offset, on the target's side the fingerprint that was stored. Where they differ, or the offset lies outside the
+    file, the target covers nothing of this file.
     """
-    state = read_from(files, records, checkpoints)
-    source = records.where(F.col("has_newline") & F.col("raw_line").rlike(r"[^\p{IsWhite_Space}]"))
-    source = source.join(state.select(*FILE, F.coalesce("version", F.lit("")).alias("version")), FILE)
-    covered = state.where("version is not null and upto > 0").select(*FILE, "version", "upto")
+    lines, present = with_versions(files, records, checkpoints)
+    source = lines.where(F.col("has_newline") & F.col("raw_line").rlike(r"[^\p{IsWhite_Space}]")).join(present.withColumnRenamed("present", "version"), FILE, "left")
+    target = checkpoints.select(*FILE, F.col("fingerprint").alias("version"), F.col("byte_offset").alias("upto"))
     same = [F.col(f"s.{c}") == F.col(f"t.{c}") for c in (*FILE, "version")]
-    rest = source.alias("s").join(covered.alias("t"), [*same, F.col("s.start_byte") < F.col("t.upto")], "left_anti")
+    rest = source.alias("s").join(target.alias("t"), [*same, F.col("s.start_byte") < F.col("t.upto")], "left_anti")
     return rest.select(*FILE, "start_byte", "raw_line")
 
 
 def new_checkpoints(files: DataFrame, records: DataFrame) -> DataFrame:
-    """A checkpoint for each listed file: the offset behind its last complete line, and the fingerprint there."""
+    """A checkpoint for each listed file: the offset behind its last complete line, and the fingerprint there. Null where the records lack bytes before it."""
     ends = records.where("has_newline").groupBy(*FILE).agg(F.max(F.col("start_byte") + F.octet_length("raw_line") + 1).alias("byte_offset"))
     known = files.join(ends, FILE, "left").withColumn("byte_offset", F.least(F.coalesce("byte_offset", F.lit(0)), F.col("file_size")))
-    present = fingerprints(records, known)
-    return known.join(present, [*FILE, "byte_offset"]).select(*FILE, "source_path", "file_size", "modified_ns", "byte_offset", F.col("present").alias("fingerprint"))
+    present = _prints(records.join(known.select(*FILE, "byte_offset"), FILE))
+    print_ = F.when(F.col("byte_offset") == 0, F.lit(EMPTY)).otherwise(F.col("present"))
+    return known.join(present, FILE, "left").select(*FILE, "source_path", "file_size", "modified_ns", "byte_offset", print_.alias("fingerprint"))
 
 
 class Target:
@@ -118,29 +120,54 @@ class Target:
     def manifest(self, version: int | None = None) -> dict:
         return {"rows": [], "state": None} | self._manifests.read(version)
 
-    def rows(self, version: int | None = None) -> DataFrame:
-        """All rows up to a version. A file that was replaced has rows of several versions."""
+    def all_rows(self, version: int | None = None) -> DataFrame:
+        """All rows ever published up to a version, those of replaced files too."""
         paths = self.manifest(version)["rows"]
         return self.spark.read.schema(DONE).parquet(*[f"{self.path}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], DONE)
 
+    def rows(self, version: int | None = None) -> DataFrame:
+        """The rows of each file's current version. A file that is not listed any more keeps its rows."""
+        return self.all_rows(version).join(self.state(version).select(*FILE, "version"), [*FILE, "version"], "left_semi").select(*[c.split()[0] for c in DONE.split(", ")])
+
     def state(self, version: int | None = None) -> DataFrame:
         path = self.manifest(version)["state"]
         return self.spark.read.schema(STATE).parquet(f"{self.path}/{path}") if path else self.spark.createDataFrame([], STATE)
 
     def run(self, files: DataFrame, records: DataFrame, *, fail_before_publish: bool = False) -> int:
-        """One run: the pending records become rows of the next version, together with the new checkpoints. Returns the version.
+        """One run: records that the target doesn't hold become rows of the next version, together with the new checkpoints. Returns the version.
 
-        Changed files start over; their rows carry the new version, the fingerprint of the new checkpoint.
+        A file that was replaced starts over under a version of its own. Checkpoints of files that are not listed stay, so
+        a file that is missing from one listing goes on where it was. A run that finds nothing publishes nothing.
         """
         old = self.manifest()
-        files, records = listed_files(files), latest_records(records)
-        state = new_checkpoints(files, records)
-        todo = pending(files, records, self.state(old["version"]).select(*FILE, "byte_offset", "fingerprint"))
         name = uuid.uuid4().hex
-        versions = stage(state, "state")
-        todo.join(versions.select(*FILE, F.col("fingerprint").alias("version")), FILE).select(*FILE, "start_byte", "raw_line", "version").write.parquet(f"{self.path}/rows-{name}")
-        versions.write.parquet(f"{self.path}/state-{name}")
+        files, records, state = listed_files(files), latest_records(records), self.state(old["version"])
+        lines, present = with_versions(files, records, state)
+        goes_on = (F.col("present") == F.col("fingerprint")) | ((F.col("byte_offset") == 0) & (F.col("file_size") >= 0))
+        here = files.select(*FILE, F.col("file_size").alias("size")).join(state, FILE, "left").join(present, FILE, "left")
+        here = here.select(*FILE, F.when(goes_on, F.col("version")).otherwise(F.lit(name)).alias("version"), F.coalesce(goes_on & (F.col("size") <= F.col("byte_offset")), F.lit(False)).alias("whole"))
+        here = stage(here, "versions")
+        source = lines.where(F.col("has_newline") & F.col("raw_line").rlike(r"[^\p{IsWhite_Space}]")).select(*FILE, "start_byte", "raw_line")
+        source = source.join(here.where("not whole").select(*FILE, "version"), FILE)  # a file that the target covers to its end has no new records
+        todo = source.join(self.all_rows(old["version"]).select(*FILE, "version", "start_byte"), [*FILE, "version", "start_byte"], "left_anti")
+        todo.select(*[c.split()[0] for c in DONE.split(", ")]).write.parquet(f"{self.path}/rows-{name}")
+        now = new_checkpoints(files, records).join(here.select(*FILE, "version"), FILE)
+        kept = state.join(files.select(*FILE), FILE, "left_anti")
+        columns = [c.split()[0] for c in STATE.split(", ")]
+        now.select(*columns).unionByName(kept.select(*columns)).write.parquet(f"{self.path}/state-{name}")
+        written = self.spark.read.schema(DONE).parquet(f"{self.path}/rows-{name}")
+        moved = [*FILE, "byte_offset", "fingerprint", "version"]
+        empty = written.isEmpty()
+        if empty and self.spark.read.schema(STATE).parquet(f"{self.path}/state-{name}").select(*moved).exceptAll(state.select(*moved)).isEmpty():
+            self._manifests.remove(f"rows-{name}", f"state-{name}")
+            return old["version"]
         if fail_before_publish:
             raise RuntimeError("failed before publishing")
-        manifest = {"version": old["version"] + 1, "rows": [*old["rows"], f"rows-{name}"], "state": f"state-{name}"}
-        return self._manifests.publish(manifest)
+        rows = old["rows"] if empty else [*old["rows"], f"rows-{name}"]
+        return self._manifests.publish({"version": old["version"] + 1, "rows": rows, "state": f"state-{name}"})
+
+    def compact(self) -> int:
+        """Publish a version whose rows are the current ones in one folder."""
+        old, name = self.manifest(), uuid.uuid4().hex
+        self.rows(old["version"]).write.parquet(f"{self.path}/rows-{name}")
+        return self._manifests.publish({"version": old["version"] + 1, "rows": [f"rows-{name}"], "state": old["state"]})

@@ -87,13 +87,40 @@ def test_runs_skip_and_repeat_nothing(spark, tmp_path):
     assert target.version() == 0 and target.rows().count() == 0
     assert target.run(*tables(spark, first)) == 1
     assert {(r.source_key, r.raw_line) for r in target.rows().collect()} == {("a", "one"), ("a", "two"), ("b", "x")}
-    assert target.run(*tables(spark, first)) == 2 and target.rows().count() == 3
+    before = sorted(x.name for x in (tmp_path / "t").iterdir())
+    assert target.run(*tables(spark, first)) == 1 and target.rows().count() == 3  # nothing new, nothing published or left behind
+    assert sorted(x.name for x in (tmp_path / "t").iterdir()) == before
     second = {"a": "one\ntwo\nhalf\nnext\n", "b": "y\n", "c": "new\n"}
     target.run(*tables(spark, second))
     lines = sorted((r.source_key, r.start_byte, r.raw_line) for r in target.rows().collect())
-    assert lines == [("a", 0, "one"), ("a", 4, "two"), ("a", 8, "half"), ("a", 13, "next"), ("b", 0, "x"), ("b", 0, "y"), ("c", 0, "new")]
+    assert lines == [("a", 0, "one"), ("a", 4, "two"), ("a", 8, "half"), ("a", 13, "next"), ("b", 0, "y"), ("c", 0, "new")]
+    assert {(r.source_key, r.raw_line) for r in target.all_rows().collect()} >= {("b", "x"), ("b", "y")}
     assert {r.source_key: r.byte_offset for r in target.state().collect()} == {"a": 18, "b": 2, "c": 4}
     assert target.rows(1).count() == 3
+    n = target.all_rows().count()
+    target.compact()
+    assert target.rows().count() == 6 and target.all_rows().count() == n - 1 and len(target.manifest()["rows"]) == 1
+
+
+def test_a_file_that_vanishes_and_returns_is_not_repeated(spark, tmp_path):
+    target = Target(spark, str(tmp_path / "t"))
+    target.run(*tables(spark, {"a": "one\ntwo\n", "b": "x\n"}))
+    assert target.run(*tables(spark, {"b": "x\n"})) == 1  # a isn't listed; its checkpoint and rows stay
+    assert target.run(*tables(spark, {"a": "one\ntwo\n", "b": "x\n"})) == 1
+    target.run(*tables(spark, {"b": "x\nz\n"}))
+    target.run(*tables(spark, {"a": "one\ntwo\nthree\n"}))
+    lines = sorted((r.source_key, r.start_byte, r.raw_line) for r in target.all_rows().collect())
+    assert lines == [("a", 0, "one"), ("a", 4, "two"), ("a", 8, "three"), ("b", 0, "x"), ("b", 2, "z")]
+
+
+def test_the_targets_rows_decide(spark, tmp_path):
+    """A row that is in the target under the file's version is not made again, whatever the checkpoint says; one of another version doesn't count."""
+    target = Target(spark, str(tmp_path / "t"))
+    target.run(*tables(spark, {"a": "one\n", "b": "x\n"}))
+    target.run(*tables(spark, {"a": "ONE\ntwo\n", "b": "x\n \n"}))  # a replaced; b only grew by a blank line
+    assert sorted((r.source_key, r.raw_line) for r in target.all_rows().collect()) == [("a", "ONE"), ("a", "one"), ("a", "two"), ("b", "x")]
+    assert len({r.version for r in target.all_rows().where("source_key = 'a'").collect()}) == 2
+    assert len(target.manifest()["rows"]) == 2
 
 
 def test_only_one_writer_publishes(spark, tmp_path):
