@@ -218,13 +218,12 @@ def _lexicon(words: list[str], given: list[bool]) -> Lexicon:
 def with_lexicon(rows: DataFrame, lexicon: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[Lexicon]]]:
     """Rows ``doc_id, text``, and how to get each row's lexicon from a batch of them.
 
-    A lexicon of at most ``broadcast_words`` words, counted before anything is sent, is broadcast. Of a larger one every
+    A lexicon of at most ``broadcast_words`` words, which is found out without taking more than that, is broadcast. Of a larger one every
     document gets its own words as a third column, by a join on the word; the result is the same.
     """
     spark = rows.sparkSession
-    if lexicon.count() <= broadcast_words:
-        # the count was checked: at most broadcast_words words come to the driver
-        words = lexicon.toPandas()
+    words = lexicon.limit(broadcast_words + 1).toPandas()  # no more than that come to the driver
+    if len(words) <= broadcast_words:
         held = spark.sparkContext.broadcast(_lexicon(words["word"].tolist(), words["given"].tolist()))
         return rows, lambda batch: [held.value] * batch.num_rows
     own = rows.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(_folded(F.col("text"))), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).distinct()
