@@ -45,7 +45,7 @@ _NO_FAMILY = "Team|Members?|All|Everyone|Group|Inc|Ltd|GmbH|LLC|Corp|University|
 _NO_NAME, _NO_FAMILY = (f"{x}|{x.upper()}" for x in (_NO_NAME, _NO_FAMILY))
 _R = rf"(?:[^\W\d_]+|['’][^\W\d_]+)(?:['’-][^\W\d_]+)*"
 #: Begins with the capital letter, so that the search runs from capital to capital; the group is what follows it.
-SHAPE = re.compile(rf"[{_U}](?<![\w@.+'’-][{_U}])(?=((?:(?:{_R}{_W}|\.(?:{_W})?)(?:{_J}){{0,2}}(?:{_N}{_W})?{_Q}?(?=[{_U}])(?!(?:{_NO_FAMILY})\b){_N}|{_R},{_W}(?=[{_U}])(?!(?:{_NO_NAME}|{_NO_FAMILY})\b)(?:{_N}|{_J}))(?:{_W}[{_U}]\.(?!\w))?)(?![\w@]|[-'.+_]\w))")
+SHAPE = re.compile(rf"[{_U}](?<![\w@.+'’-][{_U}])(?=((?:(?:{_R}{_W}|\.(?:{_W})?)(?:{_J}){{0,2}}(?:{_N}{_W})?{_Q}?(?=[{_U}])(?!(?:{_NO_FAMILY}|{_NO_NAME})\b){_N}|{_R},{_W}(?=[{_U}])(?!(?:{_NO_NAME}|{_NO_FAMILY})\b)(?:{_N}|{_J}))(?:{_W}[{_U}]\.(?!\w))?)(?![\w@]|[-'.+_]\w))")
 NO_NAME = re.compile(rf"(?:{_NO_NAME})\b")
 _TITLES = "mrs?|ms|mx|miss|dr|prof|professor|doctor|dres|herrn?|frau|monsieur|madame|mme|mlle|señora?|sra?|srta|don|doña|dipl\\.-ing|ing"
 _ROLES = (
@@ -82,6 +82,8 @@ _FRONT = re.compile(rf"(?<![\w@.+'-])(?:([^\W\d_]+(?:-[^\W\d_]+)*){_W}|[^\W\d_]\
 _LEAD = re.compile(rf"(?<![\w@.+'-])(?:(?:{_any(sorted(PARTICLES, key=len, reverse=True))}){_W})\Z", re.I)
 _BACK = re.compile(rf"(?:,{_W}|{_W})([^\W\d_]+(?:-[^\W\d_]+)*)(?:{_W}[^\W\d_]\.(?!\w))?")
 _END = re.compile(r"(?![\w@]|[-'.+_]\w)")
+_LONG = re.compile(r"\S{2,}(?<!\.)(?:\s|\Z)")
+_PARTICLE = re.compile(rf"\s(?:{_any(PARTICLES)})\s", re.I)
 _START = re.compile(r"(?<![\w@.+'-])")
 _LOCAL = re.compile(r"[\w.+%-]{2,64}(?=[ \xa0]?(?:@|[\[({] ?(?:at|arroba) ?[\])}]))")
 _LABELLED = re.compile(rf"(\S+{_W}\S+(?:{_W}\S+)*){_W}\S+\Z")
@@ -182,7 +184,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             for a, b, sure in candidates(text):
-                given, family = places(text[a:b])
+                value = text[a:b]
+                if len(_LONG.findall(value)) > 2 and not _PARTICLE.search(value):
+                    continue  # of three words the last may belong to what follows
+                given, family = places(value)
                 keys = [(given, True)] if given else []
                 keys += [(p, False) for p in {family, *family.split("-")} if p]
                 total.update(keys)
