@@ -116,12 +116,14 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, documents: int = DOCUMEN
     """Place items ``doc_id, n_tokens``: ``container, position, doc_id, piece, first_token, n_tokens``.
 
     An item longer than ``capacity`` is cut into full pieces and a rest, numbered by ``piece``; every other one stays
-    whole. Items without tokens take no space and get no row; a null id or length neither. Ids are expected once.
-    ``container`` is a text, ``shard-number``. ``cost`` bounds the sum of squared lengths of containers of several
-    documents; unset, it is what one full piece costs, which then never binds but still weighs.
+    whole. Items without tokens take no space: they get a row without a container and position. So does a null length; a
+    null id gets none. Ids are expected once. ``container`` is a text, ``shard-number``. ``cost`` bounds the sum of
+    squared lengths of containers of several documents; unset, it is what one full piece costs, which then never binds
+    but still weighs.
     """
     cost = float(cost or capacity * capacity)
-    rows = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n")).where("doc_id is not null and n > 0")
+    given = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n")).where("doc_id is not null")
+    rows = given.where("n > 0")
     cuts = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity)))
     parts = rows.select("doc_id", "n", cuts.alias("piece")).select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * capacity).alias("first_token"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
     total = rows.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
@@ -135,4 +137,28 @@ def pack(items: DataFrame, *, capacity: int = CAPACITY, documents: int = DOCUMEN
         pdf["container"], pdf["position"] = [f"{shard}-{b}" for b in bins.tolist()], place.astype("int32")
         return pdf[["container", "position", "doc_id", "piece", "first_token", "n_tokens"]]
 
-    return parts.groupBy("shard").applyInPandas(one, "container string, position int, doc_id long, piece int, first_token long, n_tokens long")
+    none = given.where("n <= 0").selectExpr("cast(null as string) as container", "cast(null as int) as position", "doc_id", "0 as piece", "0L as first_token", "0L as n_tokens")
+    return parts.groupBy("shard").applyInPandas(one, "container string, position int, doc_id long, piece int, first_token long, n_tokens long").unionByName(none)
+
+
+def audit(placed: DataFrame, items: DataFrame, *, capacity: int = CAPACITY, documents: int = DOCUMENTS, cost: float | None = None) -> DataFrame:
+    """One row on what ``pack`` made of the items: how many documents have a row, and how much is wrong.
+
+    ``overfull, crowded, costly`` count containers beyond a capacity (of cost: only those of several documents), ``gaps``
+    those whose positions aren't 0, 1, ...; ``cut`` counts documents that were split though they fit, ``lost`` those
+    whose pieces don't make up all their tokens in order. ``full`` says whether containers hold 99 % of what they could
+    together, all but the last of each shard aside; it is only expected where tokens are the capacity that binds.
+    """
+    each = placed.where("container is not null").groupBy("container").agg(
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"), F.sum(F.col("n_tokens").cast("double") ** 2).alias("cost"), F.max("position").alias("last"), F.countDistinct("position").alias("places")
+    )
+    most = float(cost or capacity * capacity)
+    bins = each.agg(
+        F.count_if(F.col("tokens") > capacity).alias("overfull"), F.count_if(F.col("n") > documents).alias("crowded"), F.count_if((F.col("n") > 1) & (F.col("cost") > most + 0.5)).alias("costly"), F.count_if((F.col("last") + 1 != F.col("n")) | (F.col("places") != F.col("n"))).alias("gaps"),
+        F.count("*").alias("containers"), F.countDistinct(F.substring_index("container", "-", 1)).alias("shards"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+    )
+    parts = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("got"), F.max("piece").alias("last"), F.count_if(F.col("first_token") != F.col("piece").cast("long") * capacity).alias("moved"))
+    docs = items.where("doc_id is not null").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n")).join(parts, "doc_id", "full")
+    docs = docs.agg(F.count("pieces").alias("documents"), F.count_if((F.col("n") <= capacity) & (F.col("pieces") > 1)).alias("cut"), F.count_if(~F.coalesce((F.col("n") == F.col("got")) & (F.col("last") + 1 == F.col("pieces")) & (F.col("moved") == 0), F.lit(False))).alias("lost"))
+    full = F.col("tokens") >= 0.99 * capacity * (F.col("containers") - 2 * F.col("shards"))
+    return docs.crossJoin(bins).select("documents", "cut", "lost", "overfull", "crowded", "costly", "gaps", full.alias("full"))  # two single rows
