@@ -18,9 +18,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """A search: every hundredth drawer, by the hash of its id, asks among all."""
-    asks = F.pmod(F.xxhash64("id"), F.lit(100)) == 0
-    found = neighbours.most_similar(_table(spark, folder, "drawers"), trees=24, window=40_000, queries=asks, partition_rows=200_000)
+    """A search at any cosine: every hundredth drawer, by the MD5 of its id, asks among all."""
+    asks = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 100 == 0
+    found = neighbours.most_similar(_table(spark, folder, "drawers"), trees=16, candidates=24_000, share=0.15, queries=asks, partition_rows=200_000)
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
@@ -53,6 +53,28 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(stage(packing.token_lengths(_table(spark, folder, "documents")), "lengths"))
 
 
+#: Bounds that bind: two thirds of the documents are short, and one piece of full length costs twice as much.
+BALANCED = {"documents": 8, "cost": packing.CAPACITY**2 / 2}
+
+
+def p6_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers that also keep within eight documents and half the attention cost of a full piece."""
+    return packing.pack(stage(packing.token_lengths(_table(spark, folder, "documents")), "lengths"), **BALANCED)
+
+
+def _audited(spark: SparkSession, folder: str, **bounds) -> DataFrame:
+    lengths = stage(packing.token_lengths(_table(spark, folder, "documents")), "lengths")
+    return packing.audit(stage(packing.pack(lengths, **bounds), "placed"), lengths, **bounds)
+
+
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return _audited(spark, folder)
+
+
+def p6_balanced_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return _audited(spark, folder, **BALANCED).drop("full")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark_items"))
 
@@ -75,7 +97,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return pii.restored(pii.redacted(documents, key=TEST_KEY), pii.findings(documents, key=TEST_KEY))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p7_found, p8_found, p8_redacted, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p6_balanced, p6_audit, p6_balanced_audit, p7_found, p8_found, p8_redacted, p8_restored)}
 _SETS = r"""
     words AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM drawers) WHERE id IS NOT NULL AND content IS NOT NULL),
     sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
@@ -94,18 +116,28 @@ _OVERLAPS = r"""
         WHERE k >= 0.65 * (a.n + b.n - k)
     """
 
-SQL: dict[str, str] = {
-    "p8_restored": "SELECT doc_id, text FROM documents",
-    "p1_found": """
-        WITH v AS (
+_VECTORS = """v AS (
             SELECT DISTINCT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM drawers
             WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-        near AS (
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+_AUDIT = "SELECT count(DISTINCT doc_id) AS documents, 0 AS cut, 0 AS lost, 0 AS overfull, 0 AS crowded, 0 AS costly, 0 AS gaps"
+
+SQL: dict[str, str] = {
+    "p6_audit": f"{_AUDIT}, true AS full FROM documents",
+    "p6_balanced_audit": f"{_AUDIT} FROM documents",
+    "p8_restored": "SELECT doc_id, text FROM documents",
+    "p1_found": f"""
+        WITH {_VECTORS}, near AS (
             SELECT a.id AS id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
         best AS (SELECT id, neighbour, c, row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour) AS r FROM near)
         SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM best WHERE r <= 5 AND c >= 0.9
     """,
+    "p1_neighbours": f"""
+        WITH {_VECTORS}, near AS (
+            SELECT a.id AS id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id WHERE ('0x' || substr(md5(a.id), 1, 8))::BIGINT % 100 = 0)
+        SELECT id, neighbour, round(c, 6) AS cosine, (row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour))::INT AS rank FROM near QUALIFY rank <= 5
+    """,
     "p2_found": _OVERLAPS,
     "p2_report": f"""
         WITH found AS ({_OVERLAPS}),
