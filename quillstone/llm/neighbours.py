@@ -210,13 +210,12 @@ def _scan(dim: int, keep: int, least: float):
         stop, rest = (table[c].fill_null(-2).to_numpy()[fresh] for c in ("stop", "rest"))
         asking = np.flatnonzero(stop > -2)
         first, end = ranges(key, asking, stop[asking], rest[asking])
-        for at in range(0, len(asking), BLOCK):
-            own = asking[at : at + BLOCK]
-            a, b = int(first[at : at + BLOCK].min()), int(end[at : at + BLOCK].max())
-            if b - a > 64 * BLOCK and len(own) > 8:  # few rows with wide ranges, or ranges far apart: one part at a time
-                groups = np.array_split(np.arange(at, at + len(own)), -(-len(own) // 8))
-            else:
-                groups = [np.arange(at, at + len(own))]
+        tree = np.flatnonzero(np.append(True, np.diff(key[asking] >> LENGTH) != 0)) if len(asking) else []
+        blocks = [np.arange(at, min(at + BLOCK, until)) for begin, until in zip(tree, np.append(tree, len(asking))[1:]) for at in range(begin, until, BLOCK)]
+        for block in blocks:
+            groups = [block]
+            if int(end[block].max() - first[block].min()) > 64 * BLOCK and len(block) > 8:  # wide ranges: fewer rows at a time
+                groups = np.array_split(block, -(-len(block) // 8))
             for g in groups:
                 own, a, b = asking[g], int(first[g].min()), int(end[g].max())
                 near = half[own].astype(np.float32) @ half[a:b].astype(np.float32).T

@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillstone.llm.neighbours import links, most_similar
+from quillstone.llm.neighbours import LENGTH, ascent, links, most_similar, profiles, ranges
 
 SCHEMA = "id string, embedding array<float>, tree int, prefix string"
 
@@ -56,8 +56,43 @@ def test_min_cosine_keeps_ranks(spark):
     assert {(r.id, r.neighbour, r.rank) for r in found} == {("a", "b", 1), ("b", "a", 2), ("b", "c", 1), ("c", "b", 1)}
 
 
-def test_search_recall_where_the_window_is_a_small_share(spark, monkeypatch):
-    """p1_neighbours with its window and partitions at the share of rows that they have of 1.5 million."""
+def _shared(a, b):
+    return LENGTH - int(a ^ b).bit_length()
+
+
+def test_profiles_ascent_and_ranges_against_counting():
+    rng = np.random.default_rng(3)
+    trees = [np.sort(np.concatenate([rng.integers(0, 1 << LENGTH, 150), rng.integers(0, 1 << 12, 100), np.full(50, 77)])) for _ in range(3)]
+    found = []
+    for t, key in enumerate(trees):
+        got = profiles(key)
+        for i in (0, 40, 120, 180, 250, 299):
+            counts = [sum(_shared(key[i], o) >= d for o in key) for d in range(LENGTH + 1)]
+            for j in range(10):
+                enough = [d for d in range(LENGTH + 1) if counts[d] >= 2**j]
+                assert got[i, j] == (max(enough) if enough else -1)
+        found.append(got)
+    stop, rest = ascent(np.stack(found, axis=1), 60)
+    for t, key in enumerate(trees):
+        own = np.arange(300)
+        first, end = ranges(key, own, stop, rest)
+        for i in range(0, 300, 7):
+            deep = [k for k in range(300) if _shared(key[i], key[k]) > stop[i]]
+            same = [k for k in range(300) if _shared(key[i], key[k]) >= stop[i]]
+            assert first[i] <= i < end[i] and all(first[i] <= k < end[i] for k in deep) and first[i] >= min(same) and end[i] <= max(same) + 1
+    assert (ascent(np.stack(found, axis=1), 10**9)[0] == -1).all()
+
+
+def test_ascent_goes_deeper_where_it_is_dense():
+    """In a dense region the ascent ends at a longer prefix: as many candidates, other lengths."""
+    rng = np.random.default_rng(4)
+    key = np.sort(np.concatenate([rng.integers(0, 1 << LENGTH, 2000), (1 << 40) + rng.integers(0, 1 << 20, 2000)]))
+    stop, _ = ascent(profiles(key)[:, None, :], 200)
+    assert np.median(stop[np.searchsorted(key, (1 << 40) + (1 << 19)) + np.arange(50)]) > 20 > np.median(stop[-1000:])
+
+
+def test_recall_where_the_candidates_are_a_small_share(spark):
+    """p1_found with its parameters, at 15,000 drawers: a tenth of all rows are compared."""
     import os
 
     import pytest
@@ -68,16 +103,16 @@ def test_search_recall_where_the_window_is_a_small_share(spark, monkeypatch):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):
         pytest.skip("no test tables")
-    real = most_similar
-    monkeypatch.setattr(neighbours, "most_similar", lambda df, **kw: real(df, **kw | {n: kw[n] // 100 for n in ("window", "partition_rows")}))
-    found = queries.p1_neighbours(spark, folder).toPandas()
-    rows = spark.read.parquet(f"{folder}/drawers.parquet").where(F.col("id").isNotNull() & neighbours.usable("embedding", 64))
-    frame = rows.selectExpr("id", "cast(embedding as array<double>) as e", "pmod(xxhash64(id), 100) = 0 as asks").dropDuplicates(["id"]).toPandas()
+    found = {tuple(r) for r in queries.p1_found(spark, folder).collect()}
+    rows_ = spark.read.parquet(f"{folder}/drawers.parquet").where(F.col("id").isNotNull() & neighbours.usable("embedding", 64))
+    frame = rows_.selectExpr("id", "cast(embedding as array<double>) as e").dropDuplicates(["id"]).toPandas()
     x = np.array(frame.e.tolist())
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    asks = np.flatnonzero(frame.asks)
-    s = x[asks] @ x.T
-    s[np.arange(len(asks)), asks] = -2
-    fifth = dict(zip(frame.id[asks], np.sort(s, axis=1)[:, -5]))
-    hits = sum(c >= fifth[i] - 1e-6 for i, c in zip(found.id, found.cosine))
-    assert hits / (5 * len(asks)) >= 0.9
+    ids, true = frame.id.to_numpy(), set()
+    for at in range(0, len(x), 2000):
+        s = x[at : at + 2000] @ x.T
+        s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+        best = np.argpartition(-s, 5, axis=1)[:, :5]
+        for i, j in zip(*np.nonzero(np.take_along_axis(s, best, 1) >= 0.9)):
+            true.add(tuple(sorted((ids[at + i], ids[best[i, j]]))))
+    assert len(found & true) >= 0.99 * len(true) and len(found - true) <= 0.01 * len(true)
