@@ -10,9 +10,8 @@ from quillstone.plans import sqltext as S
 from quillstone.plans.catalogue import query
 from quillstone.plans.sqltext import CORPUS
 from quillstone.plans.tables import corpus
-from pyspark.sql import Window
 
-MOST, WORDS_IN = 50, 0.02
+MOST = 50
 
 
 def _asked(spark, folder):
@@ -22,27 +21,14 @@ def _asked(spark, folder):
 
 _ASKED = "a AS (SELECT DISTINCT ON (question_id) * FROM (SELECT u.id AS question_id, id, domain, u.text AS text, u.also_relevant AS also_relevant, lower(trim(u.split)) AS split FROM (SELECT id, domain, unnest(queries) AS u FROM c)) WHERE question_id IS NOT NULL)"
 _RANKED = f"""{CORPUS}, {_ASKED},
-    w AS (SELECT DISTINCT id AS item_id, domain, unnest({S.tokens('content')}) AS t FROM c), n AS (SELECT t, count(*) AS df FROM w GROUP BY t), nn AS (SELECT count(*) AS docs FROM c),
-    qw AS (SELECT DISTINCT question_id, domain, unnest({S.tokens('text')}) AS t FROM a),
-    s AS (SELECT question_id, item_id, round(sum(ln(docs / df)), 9) AS score FROM qw JOIN w USING (domain, t) JOIN n USING (t), nn WHERE df <= greatest({WORDS_IN} * docs, 20) GROUP BY ALL),
+    w AS (SELECT DISTINCT id AS item_id, unnest({S.tokens('content')}) AS t FROM c), n AS (SELECT t, count(*) AS df FROM w GROUP BY t), nn AS (SELECT count(*) AS docs FROM c),
+    qw AS (SELECT DISTINCT question_id, unnest({S.tokens('text')}) AS t FROM a),
+    s AS (SELECT question_id, item_id, round(sum(ln(docs / df)), 9) AS score FROM qw JOIN w USING (t) JOIN n USING (t), nn GROUP BY ALL),
     ranked AS (SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= {MOST}),
     relevant AS (SELECT DISTINCT question_id, item_id FROM (SELECT question_id, id AS item_id FROM a UNION ALL SELECT question_id, unnest(also_relevant) FROM a) WHERE item_id IS NOT NULL)"""
 
 
 def _ranked(spark, folder):
-    """Documents of a question's domain by the weight of the words they share with it; words in more than a fiftieth of the documents (of large collections) say nothing and are left out."""
-    c, a = corpus(spark, folder), _asked(spark, folder)
-    w = c.select(F.col("id").alias("item_id"), "domain", F.explode(F.array_distinct(T.identifier_tokens(F.col("content")))).alias("t"))
-    df = w.groupBy("t").agg(F.count("*").alias("df"))
-    docs = c.agg(F.count("*").alias("docs"))
-    df = df.crossJoin(F.broadcast(docs)).where(F.col("df") <= F.greatest(WORDS_IN * F.col("docs"), F.lit(20))).select("t", F.log(F.col("docs") / F.col("df")).alias("w"))
-    q = a.select("question_id", "domain", F.explode(F.array_distinct(T.identifier_tokens(F.col("text")))).alias("t"))
-    s = q.join(df, "t").join(w, ["domain", "t"]).groupBy("question_id", "item_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "item_id")
-    return a, s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST)
-
-
-def _ranked_in_store(spark, folder):
     """Every document of the store by the weight of the words it shares with a question; no domain and no word is left out."""
     c, a = corpus(spark, folder), _asked(spark, folder)
     tokens = lambda x: F.array_distinct(T.identifier_tokens(F.col(x)))
@@ -71,11 +57,6 @@ def ir_metrics(spark, folder):
     return _ir_metrics(*_ranked(spark, folder))
 
 
-@query()
-def store_ir_metrics(spark, folder):
-    return _ir_metrics(*_ranked_in_store(spark, folder))
-
-
 def _ir_metrics(a, ranked):
     rows = evaluate.metrics(ranked, _relevant(a))
     return rows.withColumns({"ndcg": F.round("ndcg", 6), "reciprocal_rank": F.round("reciprocal_rank", 6)})
@@ -86,11 +67,6 @@ def split_means(spark, folder):
     return _split_means(*_ranked(spark, folder))
 
 
-@query()
-def store_split_means(spark, folder):
-    return _split_means(*_ranked_in_store(spark, folder))
-
-
 def _split_means(a, ranked):
     own = a.where(F.col("split").isin("dev", "held_out"))
     rows = evaluate.means(evaluate.metrics(ranked, _relevant(own)).join(own.select("question_id", "split"), "question_id"), "split")
@@ -113,11 +89,6 @@ def wilson_interval(spark, folder):
     return _wilson_interval(*_ranked(spark, folder))
 
 
-@query()
-def store_wilson_interval(spark, folder):
-    return _wilson_interval(*_ranked_in_store(spark, folder))
-
-
 def _wilson_interval(a, ranked):
     rows = evaluate.metrics(ranked, _relevant(a), (5,)).join(a.select("question_id", "domain"), "question_id").groupBy("domain").agg(F.sum("recall_any").alias("s"), F.count("*").alias("n"))
     low, high = evaluate.wilson(F.col("s"), F.col("n"))
@@ -130,11 +101,6 @@ def domain_gate(spark, folder):
     return _domain_gate(*_ranked(spark, folder))
 
 
-@query()
-def store_domain_gate(spark, folder):
-    return _domain_gate(*_ranked_in_store(spark, folder))
-
-
 def _domain_gate(a, ranked):
     rows = evaluate.metrics(ranked, _relevant(a), (5,)).join(a.select("question_id", "domain"), "question_id").groupBy("domain").agg(F.avg("recall_any").alias("recall"))
     base = rows.where("domain like 'c%'").select("domain", F.lit(0.9).alias("baseline"))

@@ -51,7 +51,7 @@ def test_questions_rank_against_the_whole_store(spark, tmp_path):
         old = ranking.QUESTIONS, ranking.ITEMS
         ranking.QUESTIONS, ranking.ITEMS = sizes
         try:
-            got = E._ranked_in_store(spark, str(tmp_path))[1].select("question_id", "item_id", "rank").toPandas()
+            got = E._ranked(spark, str(tmp_path))[1].select("question_id", "item_id", "rank").toPandas()
         finally:
             ranking.QUESTIONS, ranking.ITEMS = old
         assert oracle.rows(got) == oracle.rows(con.execute(sql).df())
