@@ -55,5 +55,5 @@ def test_questions_rank_against_the_whole_store(spark, tmp_path):
         finally:
             ranking.QUESTIONS, ranking.ITEMS = old
         assert oracle.rows(got) == oracle.rows(con.execute(sql).df())
-    scores = {(r.question_id, r.k): r for r in E.store_ir_metrics(spark, str(tmp_path)).collect()}
+    scores = {(r.question_id, r.k): r for r in E.ir_metrics(spark, str(tmp_path)).collect()}
     assert len(got) == 1600 and all(scores[f"q{i}", 50].recall_all == 1 for i in range(40))
