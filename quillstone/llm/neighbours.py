@@ -14,8 +14,8 @@ close company give more candidates than others. The second pass sorts strings wi
 vectors. In each tree a row is compared with all rows that share a longer prefix than that,
 and with the nearest of those that share just as much until the number is reached.
 
-The second pass holds vectors in half precision and keeps somewhat more than k; cosines of
-what is kept are computed from the vectors as they are.
+The second pass holds a byte for each element and keeps somewhat more than k rows; cosines
+of what is kept are computed from the vectors as they are.
 
 A tree is a range partitioning into parts of about ``partition_rows`` rows, so no node of
 it is ever one task's group: a region that holds a third of all rows, even a third of all
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 TREES, CANDIDATES, LENGTH, STEPS, BLOCK, SEED = 8, 1500, 48, 24, 256, 20240229
 PARTITION_ROWS = 100_000
-#: How far a cosine of vectors in half precision may be off, and how many rows beyond k are kept for that.
-SLACK, MORE = 2e-3, 3
+#: How far a cosine of vectors of one byte an element may be off (their rounding gives a standard deviation of 0.001), and how many rows beyond k are kept for that.
+SLACK, MORE = 8e-3, 5
 
 
 def usable(vec: str, dim: int) -> F.Column:
@@ -61,6 +61,16 @@ def _binary(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * x.itemsize * x.shape[1]).astype(np.int32)), pa.py_buffer(x)])
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """Unit vectors with a byte for each element; the length is lost."""
+    return np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    x = codes.astype(np.float32)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _rotations(dim: int, trees: int, seed: int) -> np.ndarray:
     """(tree, symbol, dim, dim): as many rotations a tree as their symbols fit ``LENGTH`` bits."""
     width = max(1, int(np.ceil(np.log2(2 * dim))))
@@ -105,16 +115,16 @@ def _hash_rows(dim: int, trees: int, seed: int):
 
 
 def _hash_vectors(dim: int, trees: int, seed: int):
-    """Rows ``h, vec, stop, rest`` to ``key, h, stop, rest, vec`` for every tree, vectors of unit length in half precision."""
+    """Rows ``h, vec, stop, rest`` to ``key, h, stop, rest, vec`` for every tree, vectors of unit length as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotations = _rotations(dim, trees, seed)
         for batch in batches:
             if batch.num_rows:
                 x = _unit(_matrix(batch.column(1), dim)).astype(np.float32)
-                half = _binary(x.astype(np.float16))
+                codes = _binary(coded(x))
                 for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(strings(x, rotations[t]) | t << LENGTH), batch.column(0), batch.column(2), batch.column(3), half], ["key", "h", "stop", "rest", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(strings(x, rotations[t]) | t << LENGTH), batch.column(0), batch.column(2), batch.column(3), codes], ["key", "h", "stop", "rest", "vec"])
 
     return run
 
@@ -203,10 +213,10 @@ def _scan(dim: int, keep: int, least: float):
             return
         table = pa.Table.from_batches(parts).combine_chunks()
         key, h = table["key"].to_numpy(), table["h"].to_numpy()
-        half = _matrix(table["vec"], dim, np.float16)
+        codes = _matrix(table["vec"], dim, np.int8)
         # a row delivered again stands next to its first copy
-        fresh = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (half[1:] != half[:-1]).any(axis=1))
-        key, h, half = key[fresh], h[fresh], half[fresh]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (codes[1:] != codes[:-1]).any(axis=1))
+        key, h, x = key[fresh], h[fresh], decoded(codes[fresh])
         stop, rest = (table[c].fill_null(-2).to_numpy()[fresh] for c in ("stop", "rest"))
         asking = np.flatnonzero(stop > -2)
         first, end = ranges(key, asking, stop[asking], rest[asking])
@@ -218,7 +228,7 @@ def _scan(dim: int, keep: int, least: float):
                 groups = np.array_split(block, -(-len(block) // 8))
             for g in groups:
                 own, a, b = asking[g], int(first[g].min()), int(end[g].max())
-                near = half[own].astype(np.float32) @ half[a:b].astype(np.float32).T
+                near = x[own] @ x[a:b].T
                 near[h[own, None] == h[None, a:b]] = -3
                 rows = np.flatnonzero((near >= least).any(axis=1))
                 near = near[rows]
