@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,9 +55,28 @@ def core_tokens(tokens: list[str]) -> list[str]:
     return [t for t in tokens if t not in W.SCAFFOLD]
 
 
+def _unmarked() -> tuple[str, str]:
+    """Letters of the Latin blocks that are another letter with marks, and those other letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, UNMARKED = _unmarked()
+
+
+def lexical_fold(x: Column) -> Column:
+    """Lower case without diacritics of Latin letters, composed or combining."""
+    return F.regexp_replace(F.lower(F.translate(x, MARKED, UNMARKED)), "[\u0300-\u036f]", "")
+
+
+def lexical_folded(text: str) -> str:
+    """``lexical_fold`` of one text, on the driver, for queries."""
+    return re.sub("[\u0300-\u036f]", "", text.translate(str.maketrans(MARKED, UNMARKED)).lower())
+
+
 def lexical_words(x: Column) -> Column:
-    """Words of the inverted index: lower case, not cut inside identifiers."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Words of the inverted index: folded, not cut inside identifiers."""
+    return F.regexp_extract_all(lexical_fold(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def split_identifier(x: Column) -> Column:

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions import words as W
 from quillstone.functions.vectors import cosine, cosines
+from quillstone.operators.index import Index, counted
 
 RRF, K1, B = 60, 1.2, 0.75
 LIMIT, LIMIT_CAP = 5, 1024
+_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def dense_views(query: str) -> list[View]:
 
 def lexical_views(query: str) -> list[View]:
     """Terms end in ``*`` (prefix) or are two words in a row."""
-    tokens = T.tokens_of(query)
+    tokens = [T.lexical_folded(t) for t in T.tokens_of(query)]
     views = [View("", "all", 0.9, tuple(f"{t}*" for t in tokens))] if tokens else []
     if len(tokens) < 2:
         return views
@@ -112,6 +114,18 @@ def cosine_topk(rows: DataFrame, vector: list[float], k: int, id_col: str = "id"
     return rows.select(id_col, cosine(v, _vector(vector)).alias("similarity")).orderBy(F.desc("similarity"), F.desc(id_col)).limit(k)
 
 
+def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of each view, ranked from 1.
+
+    Every task cuts its own rows to ``k`` a view before they are shuffled. Spark does so for ranks up to a limit of the
+    session that is below the depth of a view; it is raised to that depth.
+    """
+    conf = rows.sparkSession.conf
+    if int(conf.get(_LIMIT)) < k:
+        conf.set(_LIMIT, k)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("view").orderBy(*order))).where(F.col("rank") <= k).select("id", "view", "weight", "rank")
+
+
 def dense_ranks(drawers: DataFrame, views: list[tuple[View, list[float]]], k: int) -> DataFrame:
     """``id, view, weight, rank``: for each view the k closest rows of its target, ranked from 1."""
     v = F.col("embedding")
@@ -120,8 +134,7 @@ def dense_ranks(drawers: DataFrame, views: list[tuple[View, list[float]]], k: in
     meta = F.array(*[F.struct(F.lit(i).alias("view"), F.lit(w.target).alias("target"), F.lit(w.weight).alias("weight")) for i, (w, _) in enumerate(views)])
     rows = drawers.where(usable).select("id", "content_kind", cosines(v, [q for _, q in views]).alias("c"))
     rows = rows.select("id", "content_kind", F.inline(F.arrays_zip(meta.alias("s"), F.col("c").alias("similarity")))).where(applies(F.col("s.target"), F.col("content_kind")))
-    order = Window.partitionBy("view").orderBy(F.desc("similarity"), F.desc("id"))
-    return rows.select("id", "s.view", "s.weight", "similarity").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "view", "weight", "rank")
+    return _ranked(rows.select("id", "s.view", "s.weight", "similarity"), k, F.desc("similarity"), F.desc("id"))
 
 
 def _begun(text: Column, terms: list[str]) -> Column:
@@ -145,19 +158,19 @@ def term_count(text: Column, term: str) -> Column:
 
 
 def bm25(drawers: DataFrame, terms: list[str], *, scope: Column | None = None) -> DataFrame:
-    """``id, content_kind, length, tf, score``-ready rows with all statistics of the whole collection.
+    """``id, content_kind, length, tf, score``-ready rows with all statistics of the whole collection, from the texts; where there is an index, ``index.counted`` gives the same.
 
     ``tf`` holds the count of each term; ``idf`` its weight and ``mean`` the average length, over all rows, whatever
     ``scope`` leaves of them. One scan makes the statistics (a single row), one the counts; nothing is exploded.
     """
-    counted = held(drawers, _low=F.lower(F.coalesce("content", F.lit(""))))
-    counted = held(counted, length=F.size(T.lexical_words(F.col("_low"))), _begun=_begun(F.col("_low"), terms))
-    counted = held(counted, tf=F.array(*[_count(F.col("_low"), F.col("_begun"), t) for t in terms])).drop("_low", "_begun")
+    rows = held(drawers, _low=T.lexical_fold(F.coalesce("content", F.lit(""))))
+    rows = held(rows, length=F.size(F.regexp_extract_all("_low", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), _begun=_begun(F.col("_low"), terms))
+    rows = held(rows, tf=F.array(*[_count(F.col("_low"), F.col("_begun"), t) for t in terms])).drop("_low", "_begun")
     holds = [F.count_if(F.col("tf")[i] > 0).alias(f"n{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *holds)
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *holds)
     idf = F.array(*[F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(len(terms))])
     stats = stats.select("mean", idf.alias("idf"))
-    rows = counted if scope is None else counted.where(scope)
+    rows = rows if scope is None else rows.where(scope)
     return rows.crossJoin(F.broadcast(stats))
 
 
@@ -167,14 +180,14 @@ def bm25_score(indices: list[int]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def bm25_topk(drawers: DataFrame, terms: list[str], k: int, *, scope: Column | None = None) -> DataFrame:
-    """``id, score``: the k rows that score best for the terms; equal scores by id."""
-    rows = bm25(drawers.select("id", "content", "wing", "room"), terms, scope=scope)
+def bm25_topk(drawers: DataFrame | Index, terms: list[str], k: int, *, scope: Column | None = None) -> DataFrame:
+    """``id, score``: the k rows of a table or an index that score best for the terms; equal scores by id."""
+    rows = counted(drawers, terms, scope) if isinstance(drawers, Index) else bm25(drawers.select("id", "content", "wing", "room"), terms, scope=scope)
     score = bm25_score(list(range(len(terms))))
     return rows.where(F.exists("tf", lambda x: x > 0)).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def lexical_ranks(drawers: DataFrame, views: list[View], k: int, wing: str | None = None, room: str | None = None) -> DataFrame:
+def lexical_ranks(drawers: DataFrame | Index, views: list[View], k: int, wing: str | None = None, room: str | None = None) -> DataFrame:
     """``id, view, weight, rank`` by BM25; scope and target are applied before ranks are counted, statistics stay global."""
     terms = list(dict.fromkeys(t for v in views for t in v.terms))
     scope = F.lit(True)
@@ -182,15 +195,14 @@ def lexical_ranks(drawers: DataFrame, views: list[View], k: int, wing: str | Non
         scope = scope & (F.col("wing") == wing)
     if room is not None:
         scope = scope & (F.col("room") == room)
-    rows = bm25(drawers.select("id", "content", "content_kind", "wing", "room"), terms, scope=scope)
+    rows = counted(drawers, terms, scope) if isinstance(drawers, Index) else bm25(drawers.select("id", "content", "content_kind", "wing", "room"), terms, scope=scope)
     each = []
     for i, v in enumerate(views):
         mine = [terms.index(t) for t in v.terms]
         hit = F.greatest(*[F.col("tf")[j] for j in mine], F.lit(0)) > 0
         each.append(F.struct(F.lit(i).alias("view"), F.lit(v.weight).alias("weight"), F.when(hit & applies(v.target, F.col("content_kind")), bm25_score(mine)).alias("score")))
     rows = rows.select("id", F.explode(F.array(*each)).alias("s")).select("id", "s.view", "s.weight", "s.score").where("score is not null")
-    order = Window.partitionBy("view").orderBy(F.desc("score"), "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "view", "weight", "rank")
+    return _ranked(rows, k, F.desc("score"), F.col("id"))
 
 
 def fuse(*ranks: DataFrame) -> DataFrame:
@@ -300,10 +312,10 @@ def reranked(hits: DataFrame, query: str, as_of: str | None = None) -> DataFrame
     return scaled(rows.withColumn("relevance", F.col("relevance") + F.col("boost")).drop("boost"), "relevance")
 
 
-def hybrid(drawers: DataFrame, q: Query, encode: Callable[[str], list[float]]) -> DataFrame:
+def hybrid(drawers: DataFrame, q: Query, encode: Callable[[str], list[float]], inverted: Index | None = None) -> DataFrame:
     """All columns of the best drawers with ``score`` (cosine with the query) and ``relevance``, best first.
 
-    Takes one row per id with ``embedding``. A limit of 0 gives no rows; limits end at 1024. Rows without a usable
+    Takes one row per id with ``embedding``; with the index of the same rows no text is read to rank by words. A limit of 0 gives no rows; limits end at 1024. Rows without a usable
     vector can still be found by their words; their score is null and counts as failing ``min_score``.
     """
     if q.limit <= 0:
@@ -313,7 +325,7 @@ def hybrid(drawers: DataFrame, q: Query, encode: Callable[[str], list[float]]) -
     encoded = [(v, encode(v.text)) for v in dense]
     ranks = [dense_ranks(scoped(drawers, q.wing, q.room), encoded, k)]
     if lexical:
-        ranks.append(lexical_ranks(drawers, lexical, k, q.wing, q.room))
+        ranks.append(lexical_ranks(drawers if inverted is None else inverted, lexical, k, q.wing, q.room))
     fused = scaled(fuse(*ranks).withColumnRenamed("fused", "relevance"), "relevance")
     # at most one row for each view and rank: seven views of at most 8,192 rows
     hits = drawers.join(F.broadcast(fused), "id")
@@ -333,9 +345,9 @@ def shown(hits: DataFrame) -> DataFrame:
     )
 
 
-def duplicates(drawers: DataFrame, content: str, encode: Callable[[str], list[float]], threshold: float = 0.9) -> DataFrame:
+def duplicates(drawers: DataFrame, content: str, encode: Callable[[str], list[float]], threshold: float = 0.9, inverted: Index | None = None) -> DataFrame:
     """Of the five best hits for a text, those at least ``threshold`` similar to it."""
-    return hybrid(drawers, Query(content), encode).where(F.col("score") >= threshold)
+    return hybrid(drawers, Query(content), encode, inverted).where(F.col("score") >= threshold)
 
 
 __all__ = ["Query", "View", "bm25_topk", "cosine_topk", "dense_ranks", "duplicates", "fuse", "hybrid", "lexical_ranks", "reranked", "scaled", "shown"]

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions import words as W
-from quillstone.functions.vectors import PRIME, SEED, cosine, hash_embed, hash_embed_text
+from quillstone.functions.vectors import PRIME, SEED, cosine, hash_embed_text
 from quillstone.operators import search
+from quillstone.plans import prepared
 from quillstone.plans import sqltext as S
 from quillstone.plans.catalogue import query
 from quillstone.plans.sqltext import DRAWERS
-from quillstone.plans.staging import stage
 from quillstone.plans.tables import corpus, drawers, table
 
-DIM = 64
+DIM = prepared.DIM
 ASK = "Can you remind me how we update the frozen tokenizer config after the login error 10 days ago"
 AS_OF, WING = "2026-04-10T09:00:00+02:00", "larkspur"
 TERMS = ["frozen*", "tokenizer*", "fetch*", "cursor*"]
@@ -71,8 +71,8 @@ def term_frequency(spark, folder):
 
 @query(f"WITH {DRAWERS} SELECT term, id, count(*) AS tf, min(pos)::INT AS first_position FROM (SELECT id, unnest({S.lexical('content')}) AS term, unnest(range(0, len({S.lexical('content')}))) AS pos FROM d) GROUP BY term, id")
 def postings(spark, folder):
-    rows = drawers(spark, folder).select("id", F.posexplode(T.lexical_words(F.col("content"))).alias("pos", "term"))
-    return rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.min("pos").alias("first_position"))
+    rows = prepared.store(spark, folder).inverted().postings
+    return rows.select("term", "id", F.col("tf").cast("long").alias("tf"), F.col("places")[0].alias("first_position"))
 
 
 _TOP = S.bm25_score(range(len(TERMS)), search.K1, search.B)
@@ -80,17 +80,17 @@ _TOP = S.bm25_score(range(len(TERMS)), search.K1, search.B)
 
 @query(f"WITH {DRAWERS}, {S.bm25(TERMS, search.K1, search.B)} SELECT id, round({_TOP}, 6) AS score FROM counted, stats WHERE list_max(tf) > 0 ORDER BY {_TOP} DESC, id LIMIT 50")
 def bm25_topk(spark, folder):
-    return search.bm25_topk(drawers(spark, folder), TERMS, 50).withColumn("score", F.round("score", 6))
+    return search.bm25_topk(prepared.store(spark, folder).inverted(), TERMS, 50).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {DRAWERS}, {S.bm25(TERMS, search.K1, search.B)} SELECT id, round({_TOP}, 6) AS score FROM counted, stats WHERE list_max(tf) > 0 AND wing = '{WING}' ORDER BY {_TOP} DESC, id LIMIT 50")
 def bm25_filtered_global_stats(spark, folder):
-    return search.bm25_topk(drawers(spark, folder), TERMS, 50, scope=F.col("wing") == WING).withColumn("score", F.round("score", 6))
+    return search.bm25_topk(prepared.store(spark, folder).inverted(), TERMS, 50, scope=F.col("wing") == WING).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {DRAWERS} SELECT id, {S.term_count('next step')}::INT AS n FROM (SELECT id, {S.lexical('content')} AS w FROM d) WHERE n > 0")
 def phrase_match(spark, folder):
-    return drawers(spark, folder).select("id", search.term_count(F.lower(F.coalesce("content", F.lit(""))), "next step").alias("n")).where("n > 0")
+    return drawers(spark, folder).select("id", search.term_count(T.lexical_fold(F.coalesce("content", F.lit(""))), "next step").alias("n")).where("n > 0")
 
 
 # --- hybrid search: the same views in SQL, whose texts and weights are fixed by the query ---
@@ -127,9 +127,12 @@ _ENCODED = f"""{DRAWERS},
 
 
 def _with_vectors(spark, folder):
-    d = drawers(spark, folder)
-    body = T.embedding_input(F.col("content"), F.col("retrieval_text"), F.col("source_file"), F.col("content_kind"))
-    return stage(d.withColumn("embedding", hash_embed(body, DIM)), "encoded")
+    return prepared.store(spark, folder).drawers()
+
+
+def _search(spark, folder, asked: search.Query):
+    made = prepared.store(spark, folder)
+    return search.hybrid(made.drawers(), asked, _encode, made.inverted())
 
 
 def _encode(text: str) -> list[float]:
@@ -171,7 +174,7 @@ def multi_view_dense(spark, folder):
 
 @query(f"WITH {DRAWERS}, {_COUNTS} SELECT id, view::INT AS view, rank::INT AS rank FROM ({_lexical_sql()})")
 def multi_view_lexical(spark, folder):
-    return search.lexical_ranks(drawers(spark, folder), _LEXICAL, _K).select("id", "view", "rank")
+    return search.lexical_ranks(prepared.store(spark, folder).inverted(), _LEXICAL, _K).select("id", "view", "rank")
 
 
 _FUSED = f"fused AS (SELECT id, sum(weight / (60 + rank)) AS fused FROM ({_dense_sql()} UNION ALL {_lexical_sql()}) GROUP BY id)"
@@ -181,7 +184,7 @@ _FUSED = f"fused AS (SELECT id, sum(weight / (60 + rank)) AS fused FROM ({_dense
 def rrf_fuse(spark, folder):
     rows = _with_vectors(spark, folder)
     dense = search.dense_ranks(rows, [(v, _encode(v.text)) for v in _DENSE], _K)
-    return search.fuse(dense, search.lexical_ranks(rows, _LEXICAL, _K)).withColumn("fused", F.round("fused", 9))
+    return search.fuse(dense, search.lexical_ranks(prepared.store(spark, folder).inverted(), _LEXICAL, _K)).withColumn("fused", F.round("fused", 9))
 
 
 @query(f"WITH {_ENCODED}, {_COUNTS}, {_FUSED} SELECT id, round(fused / (SELECT max(fused) FROM fused), 6) AS relevance FROM fused")
@@ -193,7 +196,7 @@ def relevance_normalise(spark, folder):
 def rrf_fuse_raw(spark, folder):
     rows = _with_vectors(spark, folder)
     dense = search.dense_ranks(rows, [(v, _encode(v.text)) for v in _DENSE], _K)
-    return search.fuse(dense, search.lexical_ranks(rows, _LEXICAL, _K))
+    return search.fuse(dense, search.lexical_ranks(prepared.store(spark, folder).inverted(), _LEXICAL, _K))
 
 
 def _any(values, x: str) -> str:
@@ -259,13 +262,13 @@ _HITS = f"""{_ENCODED}, {_COUNTS}, {_FUSED}, {_PARTS},
 
 @query(f"WITH {_HITS} SELECT id, round(relevance, 6) AS relevance, round(score, 6) AS score FROM hits ORDER BY hits.relevance DESC, hits.score DESC, id LIMIT 20")
 def hybrid_search(spark, folder):
-    hits = search.hybrid(_with_vectors(spark, folder), search.Query(ASK, limit=20, as_of=AS_OF), _encode)
+    hits = _search(spark, folder, search.Query(ASK, limit=20, as_of=AS_OF))
     return hits.select("id", F.round("relevance", 6).alias("relevance"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_HITS} SELECT id, round(relevance, 6) AS relevance FROM hits WHERE score >= 0.3 ORDER BY hits.relevance DESC, score DESC, id LIMIT 20")
 def hybrid_min_score(spark, folder):
-    hits = search.hybrid(_with_vectors(spark, folder), search.Query(ASK, limit=20, as_of=AS_OF, min_score=0.3), _encode)
+    hits = _search(spark, folder, search.Query(ASK, limit=20, as_of=AS_OF, min_score=0.3))
     return hits.select("id", F.round("relevance", 6).alias("relevance"))
 
 
@@ -276,14 +279,14 @@ _FUSED_WING = f"fused AS (SELECT id, sum(weight / (60 + rank)) AS fused FROM ({_
 @query(f"""WITH {_HITS.replace(_FUSED, _FUSED_WING)} SELECT content AS text, wing, room, content_kind, coalesce(regexp_extract(source_file, '([^/\\\\]*)$', 1), '?') AS source_file, round(relevance, 3) AS relevance, round(score, 3) AS similarity
     FROM hits JOIN d USING (id) ORDER BY hits.relevance DESC, score DESC, id LIMIT 10""")
 def hybrid_wing(spark, folder):
-    return search.shown(search.hybrid(_with_vectors(spark, folder), search.Query(ASK, limit=10, as_of=AS_OF, wing=WING), _encode))
+    return search.shown(_search(spark, folder, search.Query(ASK, limit=10, as_of=AS_OF, wing=WING)))
 
 
 @query()
 def duplicate_check(spark, folder):
-    d = _with_vectors(spark, folder)
+    made = prepared.store(spark, folder)
     content = table(spark, folder, "drawers").where("content is not null").agg(F.min_by("content", "id")).first()[0]
-    return search.duplicates(d, content, _encode).select("id", F.round("score", 6).alias("score"))
+    return search.duplicates(made.drawers(), content, _encode, inverted=made.inverted()).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {DRAWERS} SELECT min(id) AS id, count(*) AS copies FROM d WHERE content IS NOT NULL GROUP BY content HAVING count(*) > 1")

@@ -42,7 +42,7 @@ def tokens(x: str) -> str:
 
 
 def lexical(x: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(lower(strip_accents(coalesce({x}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 
 
 def memory_date(x: str) -> str:

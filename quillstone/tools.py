@@ -30,7 +30,7 @@ def slug(name: str) -> str:
 class Tools:
     def __init__(self, spark: SparkSession, path: str, dim: int = 256) -> None:
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
-        self.store = Store(spark, f"{self.path}/drawers", model=f"hash-{dim}", encode=lambda body: hash_embed(body, dim))
+        self.store = Store(spark, f"{self.path}/drawers", model=f"hash-{dim}", encode=lambda body: hash_embed(body, dim), index=True)
         self._graph = Manifests(spark, f"{self.path}/facts")
 
     def _encode(self, text: str) -> list[float]:
@@ -65,11 +65,11 @@ class Tools:
 
     def search(self, query: str, limit: int = 5, wing: str | None = None, room: str | None = None, min_score: float | None = None, as_of: str | None = None) -> dict:
         self.store.check_model()
-        hits = search.hybrid(self.store.drawers(), search.Query(query, limit, wing, room, min_score, as_of), self._encode)
+        hits = search.hybrid(self.store.drawers(), search.Query(query, limit, wing, room, min_score, as_of), self._encode, self.store.inverted())
         return {"query": query, "filters": {"wing": wing, "room": room}, "results": as_json(search.shown(hits))}
 
     def check_duplicate(self, content: str, threshold: float = 0.9) -> dict:
-        rows = search.duplicates(self.store.drawers(), content, self._encode, threshold)
+        rows = search.duplicates(self.store.drawers(), content, self._encode, threshold, self.store.inverted())
         found = as_json(rows.select("id", "wing", "room", F.round("score", 3).alias("similarity"), T.excerpt(F.col("content"), 200).alias("content")))
         return {"is_duplicate": bool(found), "matches": found}
 
