@@ -1,4 +1,4 @@
-"""Command line: mine, search, status, sync, compress, reembed, delete-wing, tool."""
+"""Command line: setup, mine, search, status, sync, compress, reembed, delete-wing, tool, serve."""
 
 from __future__ import annotations
 
@@ -6,12 +6,16 @@ import argparse
 import json
 import os
 import sys
+import threading
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone import settings
 from quillstone.functions import text as T
-from quillstone.operators import chunking, dialect
+from quillstone.operators import chunking, dialect, entities
+from quillstone.plans.staging import stage
 from quillstone.sources import files
 from quillstone.sources.session_lines import SessionLines
 from quillstone.streaming import assembly
@@ -37,12 +41,18 @@ def mined(spark: SparkSession, folder: str, wing: str, rooms: list[tuple[str, li
     )
 
 
-def mine(tools: Tools, folder: str, wing: str, limit: int | None = None) -> dict:
-    """Replace what the store has of the folder's files."""
-    rows = mined(tools.spark, folder, wing, limit=limit)
-    sources = [r[0] for r in rows.select("source_file").distinct().toLocalIterator()]
+def mine(tools: Tools, folder: str, wing: str | None = None, limit: int | None = None) -> dict:
+    """Replace what the store has of the folder's files; the summary counts files looked at, cut, passed over and replaced, drawers, and files by room."""
+    path = files.routing_config(folder)
+    routing = settings.read_routing(path) if path else None
+    rows = stage(mined(tools.spark, folder, settings.project_wing(wing, routing, folder), routing.pairs() if routing else None, limit), "mined")
+    sources = rows.select("source_file").distinct()
+    replaced = sources.join(tools.store.drawers().select("source_file").distinct(), "source_file", "left_semi").count()
     tools.store.upsert(rows, replaced_sources=sources)
-    return {"files": len(sources), "drawers": rows.count()}
+    seen = files.project_files(tools.spark, folder, limit=limit).count()
+    n = rows.agg(F.countDistinct("source_file").alias("files"), F.count("*").alias("drawers")).first()
+    by_room = rows.groupBy("room").agg(F.countDistinct("source_file").alias("n")).orderBy("room").collect()
+    return {"files": n.files, "drawers": n.drawers, "scanned": seen, "skipped": seen - n.files, "replaced": replaced, "rooms": {r.room: r.n for r in by_room}}
 
 
 def sync(tools: Tools, folder: str, adapter: str, wing: str, checkpoint: str) -> dict:
@@ -59,6 +69,52 @@ def sync(tools: Tools, folder: str, adapter: str, wing: str, checkpoint: str) ->
     return {"batches": len(run.recentProgress)}
 
 
+def detect(tools: Tools, folder: str, most: int = 10) -> dict[str, list[str]]:
+    """Names in a project's files by kind: people, projects and uncertain ones."""
+    texts = files.for_detection(files.project_files(tools.spark, folder), most)
+    found = entities.detected(texts.select(F.col("source_file").alias("id"), "content"))
+    out: dict[str, list[str]] = {}
+    for r in found.orderBy(F.desc("confidence"), "name").collect():  # at most as many as entities.CAPS
+        out.setdefault(r["kind"], []).append(r["name"])
+    return out
+
+
+def setup(tools: Tools, folder: str, ask: Callable[[str], str] | None = None, *, force: bool = False) -> dict:
+    """Names to confirm and rooms by folders; written as ``entities.json`` and ``quillstone.yaml`` unless they are there."""
+    confirmed = settings.confirm(detect(tools, folder), ask)
+    saved = bool(confirmed.people or confirmed.projects) and settings.save_registry(os.path.join(folder, "entities.json"), confirmed, force=force)
+    path = os.path.join(folder, "quillstone.yaml")
+    rooms = files.project_files(tools.spark, folder).select(T.room_of_path(F.col("source_file")).alias("room")).distinct().orderBy("room").limit(200)
+    if force or not os.path.exists(path):
+        routing = settings.Routing(settings.project_wing(None, None, folder), [(r[0], f"Files of {r[0]}", [r[0]]) for r in rooms.collect()])
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(settings.routing_text(routing))
+    return {"people": confirmed.people, "projects": confirmed.projects, "saved": saved, "routing": path}
+
+
+def serve(tools: Tools, lines: Iterable[str], out: Callable[[str], None], background: Callable[[], None] | None = None) -> int:
+    """Answer one JSON request a line, ``{"id", "tool", "arguments"}``, over one session; returns how many.
+
+    ``background``, such as ``passes.poll``, starts once requests are taken, and ends with the process.
+    """
+    out(json.dumps({"ready": True, "tools": list(TOOLS)}))
+    if background:
+        threading.Thread(target=background, daemon=True).start()
+    n = 0
+    for line in lines:
+        if not line.strip():
+            continue
+        n += 1
+        asked = None
+        try:
+            asked = json.loads(line)
+            answer = {"id": asked.get("id"), "result": call(tools, asked["tool"], asked.get("arguments", {}))}
+        except Exception as e:  # noqa: BLE001  the next request is answered
+            answer = {"id": asked.get("id") if isinstance(asked, dict) else None, "error": str(e)[:500]}
+        out(json.dumps(answer, ensure_ascii=False, default=str))
+    return n
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quillstone")
     p.add_argument("--store", default="quillstone-store")
@@ -67,10 +123,15 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("folder")
     a.add_argument("--wing")
     a.add_argument("--limit", type=int)
+    a = sub.add_parser("setup")
+    a.add_argument("folder")
+    a.add_argument("--force", action="store_true")
+    sub.add_parser("serve")
     a = sub.add_parser("search")
     a.add_argument("query")
-    for option in ("--wing", "--room", "--as-of"):
+    for option in ("--wing", "--room", "--as-of", "--scope"):
         a.add_argument(option)
+    a.add_argument("--all-wings", action="store_true")
     a.add_argument("--limit", type=int, default=5)
     sub.add_parser("status")
     a = sub.add_parser("sync")
@@ -90,9 +151,13 @@ def main(argv: list[str] | None = None) -> int:
     o = p.parse_args(argv)
     tools = Tools(SparkSession.builder.appName("quillstone").getOrCreate(), o.store)
     if o.command == "mine":
-        out = mine(tools, o.folder, o.wing or os.path.basename(os.path.abspath(o.folder)) or "project", o.limit)
+        out = mine(tools, o.folder, o.wing, o.limit)
+    elif o.command == "setup":
+        out = setup(tools, o.folder, input if sys.stdin.isatty() else None, force=o.force)
+    elif o.command == "serve":
+        out = {"answered": serve(tools, sys.stdin, lambda x: print(x, flush=True))}
     elif o.command == "search":
-        out = tools.search(o.query, o.limit, o.wing, o.room, as_of=o.as_of)
+        out = tools.search(o.query, o.limit, settings.search_wing(o.wing, everywhere=o.all_wings, scope=o.scope, here=os.getcwd()), o.room, as_of=o.as_of)
     elif o.command == "sync":
         out = sync(tools, o.folder, o.adapter, o.wing, f"{tools.path}/sync-{o.adapter}")
     elif o.command == "compress":

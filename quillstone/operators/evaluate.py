@@ -75,3 +75,28 @@ def corpus_problems(corpus: DataFrame, floors: dict[str, int]) -> DataFrame:
     kinds = corpus.select("id", "content_kind").distinct().groupBy("content_kind").agg(F.count("*").alias("n"))
     few = floor.join(kinds, "content_kind", "left").where(F.coalesce("n", F.lit(0)) < F.col("floor")).select(F.lit("too few documents").alias("problem"), F.col("content_kind").alias("detail"))
     return twice.unionByName(lost).unionByName(few)
+
+
+def summary(scores: DataFrame, seconds: float | None = None) -> str:
+    """The printed result of an evaluation: questions, time, latencies, metrics with their interval, recall by type.
+
+    ``scores`` has ``question_id, question_type, k``, the four metrics and, on every row of a question, ``latency_ms``
+    and ``indexing_ms``. All sums are made in the cluster; what is fetched is a row for each ``k`` and type.
+    """
+    each = scores.groupBy("question_id").agg(F.max("latency_ms").alias("latency_ms"), F.max("indexing_ms").alias("indexing_ms"))
+    t = each.agg(F.count("*").alias("n"), nearest_rank("latency_ms", 0.5).alias("p50"), nearest_rank("latency_ms", 0.95).alias("p95"), F.max("latency_ms").alias("most"), F.sum("indexing_ms").alias("indexing")).first()
+    if not t.n:
+        return "Questions: 0"
+    lines = [f"Questions: {t.n}"] + ([f"Time: {seconds:.1f} s ({seconds / t.n:.3f} s a question)"] if seconds is not None else [])
+    lines += [f"Latency: p50={t.p50:.0f} ms p95={t.p95:.0f} ms most={t.most:.0f} ms", f"Indexing: {t.indexing:.0f} ms ({t.indexing / t.n:.2f} ms a question)"]
+    low, high = wilson(F.sum("recall_any"), F.count("*"))
+    rows = {r.k: r for r in scores.groupBy("k").agg(F.avg("recall_any").alias("any"), F.avg("recall_all").alias("all"), F.avg("ndcg").alias("ndcg"), F.avg("reciprocal_rank").alias("rr"), low.alias("low"), high.alias("high")).collect()}
+    for k, r in sorted(rows.items()):
+        lines.append(f"Recall@{k}: {r['any']:.3f}  Recall-all@{k}: {r['all']:.3f}  NDCG@{k}: {r.ndcg:.3f}")
+    if 5 in rows:
+        lines.append(f"Recall@5, 95 % of cases: {rows[5].low:.3f} to {rows[5].high:.3f} (Wilson)")
+    if 10 in rows:
+        lines.append(f"MRR@10: {rows[10].rr:.3f}")
+        kinds = scores.where("k = 10").groupBy("question_type").agg(F.avg("recall_any").alias("r"), F.count("*").alias("n")).orderBy("question_type").collect()
+        lines += ["Recall@10 by type:", *(f"  {r.question_type}: {r.r:.3f} (n={r.n})" for r in kinds)]
+    return "\n".join(lines)

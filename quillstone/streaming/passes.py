@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import chunking
+from quillstone.plans.staging import stage
 from quillstone.sources import session_lines
 from quillstone.sources.manifest import Manifests
 from quillstone.sources.store import Lease, Store
@@ -43,6 +45,35 @@ class Roots:
             self._m.publish({"version": now["version"] + 1, "roots": [*now.get("roots", []), f"{adapter}\0{os.path.abspath(root)}"]})
 
 
+class LeaseLost(RuntimeError):
+    pass
+
+
+class Heartbeat:
+    """Renews a lease three times in its life for as long as the block runs; leaving it raises ``LeaseLost`` if another holder got it meanwhile."""
+
+    def __init__(self, lease: Lease, every_s: float | None = None) -> None:
+        self.lease, self.every, self.lost = lease, every_s or lease.ttl / 3000, False
+        self._stop = threading.Event()
+        self._thread = threading.Thread(target=self._beat, daemon=True)
+
+    def _beat(self) -> None:
+        while not self._stop.wait(self.every):
+            if not self.lease.renew():
+                self.lost = True
+                return
+
+    def __enter__(self) -> Heartbeat:
+        self._thread.start()
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self._stop.set()
+        self._thread.join()
+        if self.lost and kind is None:
+            raise LeaseLost("another holder took the lease during the pass")
+
+
 def one_pass(roots: Roots, lease: Lease, adapter: str, root: str, read: Callable[[], int], *, by_hand: bool) -> Report:
     """Read a folder if it may be read: a folder's first pass must be asked for by hand, later ones come by themselves. Only the holder of the lease reads."""
     found = Report(discovered=len(session_lines.discover(root)))
@@ -53,7 +84,8 @@ def one_pass(roots: Roots, lease: Lease, adapter: str, root: str, read: Callable
         found.busy = True
         return found
     try:
-        found.imported = read()
+        with Heartbeat(lease):
+            found.imported = read()
         roots.initialise(adapter, root)
     except Exception as e:  # noqa: BLE001  the next pass tries again
         found.errors.append(str(e)[:500])
@@ -92,14 +124,23 @@ def note_drawers(files: DataFrame, wing: str, agent: str) -> DataFrame:
     )
 
 
+def listed_notes(spark: SparkSession, root: str) -> DataFrame:
+    """``source_file, file_size, modified_ns`` of ``memory/*.md`` anywhere below a folder of any file system; the listing is Spark's, nothing is opened."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(root)
+    name = F.regexp_replace("path", "^file:/*", "/")
+    return rows.where(F.col("path").rlike(r"/memory/[^/]+$")).select(name.alias("source_file"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"))
+
+
 def sync_notes(store: Store, root: str, wing: str, agent: str) -> int:
-    """Replace the drawers of notes that changed; a note counts as changed if its size or time did. Returns how many did."""
+    """Replace the drawers of notes that changed, and drop those of notes that are gone; a note counts as changed if its size or time did. Returns how many did."""
     spark = store.spark
-    listing = [(p, os.path.getsize(p), os.stat(p).st_mtime_ns) for p in session_lines.notes(root)]
-    now = spark.createDataFrame(listing, "source_file string, file_size long, modified_ns long")
-    old = store.sync_state()
-    changed = [r[0] for r in (now if old is None else now.join(old, ["source_file", "file_size", "modified_ns"], "left_anti")).select("source_file").collect()]
-    if changed:
-        files = spark.read.text(changed, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("source_file"), F.col("value").alias("content"))
-        store.upsert(note_drawers(files, wing, agent), replaced_sources=changed, sync_state=now)
-    return len(changed)
+    now, old = stage(listed_notes(spark, root), "notes"), store.sync_state()
+    changed = now if old is None else now.join(old, ["source_file", "file_size", "modified_ns"], "left_anti")
+    changed = changed.select("source_file")
+    gone = changed.limit(0) if old is None else old.join(now.select("source_file"), "source_file", "left_anti").select("source_file")
+    n = changed.count()
+    if n or not gone.isEmpty():
+        texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").text(root, wholetext=True)
+        texts = texts.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("source_file"), F.col("value").alias("content")).join(changed, "source_file", "left_semi")
+        store.upsert(note_drawers(texts, wing, agent), replaced_sources=changed.unionByName(gone), sync_state=now)
+    return n

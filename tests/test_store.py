@@ -80,6 +80,6 @@ def test_mine(spark, tmp_path):
     (src / "b.py").write_text("def run():\n    return 1  # long enough to be kept as a chunk of code\n")
     t = Tools(spark, str(tmp_path / "store"), dim=16)
     first = mine(t, str(src), "proj")
-    assert first["files"] == 2 and mine(t, str(src), "proj") == first
+    assert first["files"] == 2 and first["replaced"] == 0 and mine(t, str(src), "proj") == first | {"replaced": 2}
     d = {r.source_file: r for r in t.store.drawers().collect()}
     assert d["b.py"].content_kind == "code" and d["docs/a.md"].room == "docs" and d["docs/a.md"].retrieval_text.startswith("kind: documentation\nsource: docs/a.md\ntitle: Title")
