@@ -81,23 +81,28 @@ def similar_classes(classes: DataFrame, least: float) -> DataFrame:
     return found.where(F.col("similarity") >= least)
 
 
+def _classes(queries: DataFrame, least: float, train: str, evaluation: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Members ``query_id, side, cls`` of classes of equal word sets, and pairs ``cls_a, cls_b, similarity`` of classes of the two sides."""
+    side = F.when(F.col("split") == train, "train").when(F.col("split").isin(*evaluation), "eval")
+    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), side.alias("side"), word_set(F.col("text")).alias("words"))
+    rows = rows.where(F.col("query_id").isNotNull() & F.col("side").isNotNull() & (F.size("words") > 0))
+    members = rows.select("query_id", "side", F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("cls"), "words")
+    members = stage(members, "queries")
+    classes = members.groupBy("side", "cls").agg(F.first("words").alias("words"))
+    return members.select("query_id", "side", "cls").distinct(), similar_classes(classes, least)
+
+
 def cross_split(queries: DataFrame, *, least: float = 0.8, train: str = "train", evaluation: tuple[str, ...] = EVALUATION, whole: int = WHOLE) -> DataFrame:
     """``query_id_a, query_id_b`` (the smaller first): a query of the training split and one of an evaluation split whose word sets have intersection / union of at least ``least``.
 
     * Split names are trimmed and lower-cased; a null split belongs to none. Null ids, null texts and texts without
       words take no part. A query is never paired with itself; one that is in both kinds of split is in pairs of either.
     * Queries with equal word sets form a class on their side. Where the two classes of a pair have more than ``whole``
-      squared pairs, the smallest id of each side stands for it and every other member is paired with the other side's.
+      squared pairs, the smallest id of each side stands for it and every other member is paired with the other side's;
+      ``cross_groups`` has the class of every query, whatever its size.
     * Repeated rows count once; an empty input gives no rows.
     """
-    side = F.when(F.col("split") == train, "train").when(F.col("split").isin(*evaluation), "eval")
-    rows = queries.select(F.col("query_id").cast("string").alias("query_id"), side.alias("side"), word_set(F.col("text")).alias("words"))
-    rows = rows.where(F.col("query_id").isNotNull() & F.col("side").isNotNull() & (F.size("words") > 0))
-    members = rows.select("query_id", "side", F.unhex(F.md5(F.concat_ws(" ", "words"))).alias("cls"), "words")
-    members = stage(members, "queries")
-    classes = members.groupBy("side", "cls").agg(F.first("words").alias("words"))
-    pairs = similar_classes(classes, least)
-    members = members.select("query_id", "side", "cls").distinct()
+    members, pairs = _classes(queries, least, train, evaluation)
     sizes = members.groupBy("side", "cls").agg(F.count("*").alias("n"), F.min("query_id").alias("rep"))
     size_a = sizes.where("side = 'train'").select(F.col("cls").alias("cls_a"), F.col("n").alias("m_a"), F.col("rep").alias("rep_a"))
     size_b = sizes.where("side = 'eval'").select(F.col("cls").alias("cls_b"), F.col("n").alias("m_b"), F.col("rep").alias("rep_b"))
@@ -112,6 +117,20 @@ def cross_split(queries: DataFrame, *, least: float = 0.8, train: str = "train",
     return every.select(F.least("x", "y").alias("query_id_a"), F.greatest("x", "y").alias("query_id_b")).distinct()
 
 
+def cross_groups(queries: DataFrame, *, least: float = 0.8, train: str = "train", evaluation: tuple[str, ...] = EVALUATION) -> DataFrame:
+    """``query_id, side, class_id, copies, links``: one row for each query of either side that has words.
+
+    ``class_id`` is the smallest id of the queries of its side with the same word set, ``copies`` their number, ``links``
+    how many classes of the other side are similar to it. Together with ``cross_split`` it names every overlap.
+    """
+    members, pairs = _classes(queries, least, train, evaluation)
+    sizes = members.groupBy("side", "cls").agg(F.count("*").alias("copies"), F.min("query_id").alias("class_id"))
+    pairs = stage(pairs, "pairs")
+    ends = pairs.select(F.lit("train").alias("side"), F.col("cls_a").alias("cls")).unionByName(pairs.select(F.lit("eval").alias("side"), F.col("cls_b").alias("cls")))
+    links = ends.groupBy("side", "cls").agg(F.count("*").alias("links"))
+    return members.join(sizes.join(links, ["side", "cls"], "left"), ["side", "cls"]).select("query_id", "side", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def report(queries: DataFrame, pairs: DataFrame, evaluation: tuple[str, ...] = EVALUATION) -> DataFrame:
     """``split, domain, source_file, queries, overlapping``: per evaluation split and source, how many queries there are and how many overlap with training. A null source is a group of its own."""
     ids = pairs.select(F.explode(F.array("query_id_a", "query_id_b")).alias("query_id")).distinct().withColumn("hit", F.lit(1))

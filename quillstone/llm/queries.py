@@ -33,6 +33,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.report(queries, overlap.cross_split(queries, least=0.65))
 
 
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_groups(overlap.exploded_queries(_table(spark, folder, "multi_domain_queries")), least=0.65)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized_pieces(_table(spark, folder, "drawers")).select("id").distinct()
 
@@ -41,6 +45,15 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.replaced(_table(spark, folder, "drawers"))
 
 
+def p3_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of cut drawers, put together from their pieces."""
+    return splitting.rejoined(splitting.oversized_pieces(_table(spark, folder, "drawers")))
+
+
+def p3_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.audit(splitting.oversized_pieces(_table(spark, folder, "drawers")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_pairs(_table(spark, folder, "drawers"), shingle=3, least=0.6)
 
@@ -97,7 +110,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return pii.restored(pii.redacted(documents, key=TEST_KEY), pii.findings(documents, key=TEST_KEY))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p3_found, p3_pieces, p4_found, p4_groups, p6_containers, p6_balanced, p6_audit, p6_balanced_audit, p7_found, p8_found, p8_redacted, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_report, p2_groups, p3_found, p3_pieces, p3_rejoined, p3_audit, p4_found, p4_groups, p6_containers, p6_balanced, p6_audit, p6_balanced_audit, p7_found, p8_found, p8_redacted, p8_restored)}
 _SETS = r"""
     words AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM drawers) WHERE id IS NOT NULL AND content IS NOT NULL),
     sh AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
@@ -145,10 +158,26 @@ SQL: dict[str, str] = {
         own AS (SELECT DISTINCT u.id AS id, lower(trim(u.split)) AS split, domain, source_file FROM (SELECT unnest(queries) AS u, domain, source_file FROM multi_domain_queries) WHERE u.id IS NOT NULL)
         SELECT split, domain, source_file, count(*) AS queries, count(hit.id) AS overlapping FROM own LEFT JOIN hit USING (id) WHERE split IN ('dev', 'held_out') GROUP BY ALL
     """,
+    "p2_groups": r"""
+        WITH q AS (SELECT DISTINCT u.id AS id, u.text AS t, CASE lower(trim(u.split)) WHEN 'train' THEN 'train' WHEN 'dev' THEN 'eval' WHEN 'held_out' THEN 'eval' END AS side FROM (SELECT unnest(queries) AS u FROM multi_domain_queries)),
+        w AS (SELECT DISTINCT id, side, list_sort(list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'))) AS ws FROM q WHERE id IS NOT NULL AND side IS NOT NULL AND len(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) > 0),
+        c AS (SELECT side, ws, min(id) AS class_id, count(*) AS copies FROM w GROUP BY ALL),
+        e AS (SELECT side, class_id, len(ws) AS n, unnest(ws) AS word FROM c),
+        p AS (SELECT a.class_id AS x, b.class_id AS y FROM e a JOIN e b ON a.word = b.word AND a.side = 'train' AND b.side = 'eval' GROUP BY a.class_id, b.class_id, a.n, b.n HAVING count(*) >= 0.65 * (a.n + b.n - count(*))),
+        l AS (SELECT 'train' AS side, x AS class_id, count(*) AS links FROM p GROUP BY x UNION ALL SELECT 'eval', y, count(*) FROM p GROUP BY y)
+        SELECT w.id AS query_id, w.side AS side, c.class_id AS class_id, copies, coalesce(links, 0) AS links FROM w JOIN c USING (side, ws) LEFT JOIN l ON l.side = c.side AND l.class_id = c.class_id
+    """,
     "p3_found": r"""
         SELECT DISTINCT id FROM drawers
         WHERE id IS NOT NULL AND strlen(trim(content, E' \t\r\n')) > 800
     """,
+    "p3_rejoined": r"""
+        SELECT DISTINCT id, trim(content, E' \t\r\n') AS content FROM drawers WHERE id IS NOT NULL AND strlen(trim(content, E' \t\r\n')) > 800
+    """,
+    "p3_audit": r"""
+        SELECT DISTINCT id, 0::BIGINT AS long, 0::BIGINT AS repeating, 0::BIGINT AS torn, 0::BIGINT AS missing FROM drawers
+        WHERE id IS NOT NULL AND strlen(trim(content, E' \t\r\n')) > 800
+    """,
     "p4_found": f"""
         WITH {_SETS},
         shared AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)

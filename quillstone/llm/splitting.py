@@ -142,3 +142,24 @@ def replaced(df: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     l3 = running(counts, ["file", "block", "old", "salt"], ["id"])
     start = l3.join(l2, ["file", "block", "old", "salt"]).join(l1, ["file", "block"]).select("id", "source_file", (F.col("before") + F.col("b1") + F.col("b2")).alias("base"))
     return pieces.join(start, "id").select("id", "source_file", (F.col("base") + F.col("piece")).alias("chunk_index"), "piece", "pieces", "content")
+
+
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """``id, content``: the texts again that ``oversized_pieces`` cut, one for each different text of an id. For checks; a text is put together in one task."""
+    whole = F.col("repeated") == 0
+    fresh = F.when(whole, F.col("content")).otherwise(F.decode(F.expr("substring(encode(content, 'UTF-8'), repeated + 1)"), "UTF-8"))
+    parts = pieces.groupBy("id", "pieces").agg(F.array_sort(F.collect_list(F.struct("piece", fresh.alias("t")))).alias("p"))
+    return parts.select("id", F.array_join("p.t", "").alias("content"))
+
+
+def audit(pieces: DataFrame, *, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """One row for each id: its number of pieces, and how many are too long, repeat too much, are out of order or begin or end inside a word though a blank stood near.
+
+    ``torn`` counts pieces that neither end the text nor end in white space, although the last ``limit // 2`` bytes of
+    the piece hold white space.
+    """
+    size = F.octet_length("content")
+    torn = (F.col("piece") < F.col("pieces") - 1) & ~F.col("content").rlike(r"\s\z") & F.right("content", F.lit(limit // 2 // 4)).rlike(r"[ \t\r\n]")
+    return pieces.groupBy("id").agg(
+        F.count_if((size > limit) | (size == 0)).alias("long"), F.count_if((F.col("repeated") > overlap) | (F.col("repeated") > size)).alias("repeating"), F.count_if(torn).alias("torn"), (F.max("pieces") - F.countDistinct("piece")).cast("long").alias("missing")
+    )
