@@ -264,6 +264,26 @@ def encode_entity(name: str, known: dict[str, str], skip: tuple[str, ...] = ())
     return "".join(c for c in name if c.isascii() and c.isalpha())[:3].upper() or None
 
 
+def entity_code(names: Column, known: dict[str, str] | None = None, skip: tuple[str, ...] = ()) -> Column:
+    """``encode_entity`` of a column."""
+
+    def run(batch):
+        return batch.map(lambda n: None if n is None else encode_entity(n, known or {}, skip))
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(names)
+
+
+def weight_texts(weights: Column) -> Column:
+    """``weight_text`` of a column."""
+
+    def run(batch):
+        return batch.map(weight_text)
+
+    run.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(weights)
+
+
 def encode_moods(moods: list[str]) -> str:
     return "+".join(list(dict.fromkeys(MOODS.get(m, m[:4]) for m in moods))[:3])
 
@@ -330,8 +350,6 @@ def encode_file(data: dict, known: dict[str, str] | None = None, skip: tuple[str
 
 def encoded_files(files: DataFrame, known: dict[str, str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """``path, dialect`` for rows ``path, json``, one file in each; malformed files give a null."""
-    import pandas as pd
-
     def run(texts):
         def one(t):
             try:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.operators import facts, rooms
+from quillstone.operators import dialect, facts, rooms
 from quillstone.plans.catalogue import query
 from quillstone.plans.sqltext import FACTS, ROOMS
 from quillstone.plans.tables import drawers, table
@@ -138,7 +138,13 @@ def traverse(spark, folder):
     return _flat(rooms.traverse(_rooms(spark, folder), "backend", 2).drop("connected_via"))
 
 
-@query()
+@query(f"""WITH {ROOMS}, seats AS (SELECT room, unnest(wings) AS wing FROM rooms),
+    f1 AS (SELECT DISTINCT room, 'backend' AS parent FROM seats WHERE wing IN (SELECT wing FROM seats WHERE room = 'backend') AND room <> 'backend'),
+    led AS (SELECT wing, min(room) AS lead FROM seats WHERE room IN (SELECT room FROM f1) GROUP BY wing),
+    f2 AS (SELECT room, min(lead) AS parent FROM seats JOIN led USING (wing) WHERE room <> 'backend' AND room NOT IN (SELECT room FROM f1) GROUP BY room),
+    walk AS (SELECT 'backend' AS room, 0 AS hop, NULL AS parent UNION ALL SELECT room, 1, parent FROM f1 UNION ALL SELECT room, 2, parent FROM f2)
+    SELECT r.room AS room, array_to_string(r.wings, ',') AS wings, r.count AS count, hop, CASE WHEN hop > 0 THEN array_to_string(list_filter(r.wings, lambda x: list_contains(p.wings, x)), ',') END AS connected_via
+    FROM walk JOIN rooms r ON r.room = walk.room LEFT JOIN rooms p ON p.room = walk.parent""")
 def traverse_connected(spark, folder):
     return _flat(rooms.traverse(_rooms(spark, folder), "backend", 2))
 
@@ -146,3 +152,24 @@ def traverse_connected(spark, folder):
 @query(f"WITH {ROOMS} SELECT room, CASE WHEN contains(room, 'end') THEN 1.0 END AS match FROM rooms WHERE contains(room, 'end') ORDER BY room LIMIT 5")
 def fuzzy_rooms(spark, folder):
     return rooms.suggestions(_rooms(spark, folder), "end")
+
+
+@query(f"WITH {FACTS} SELECT id, name, 'unknown' AS type, '{{}}' AS properties FROM e WHERE id <> '{WHO}' UNION ALL SELECT '{WHO}', '{WHO.title()}', 'project', '{{\"seen\": 1}}'")
+def entity_replaced(spark, folder):
+    known = _facts(spark, folder)[1].select("id", "name", F.lit("unknown").alias("type"), F.lit("{}").alias("properties"))
+    return facts.add_entity(known, WHO.title(), "project", '{"seen": 1}')
+
+
+@query("SELECT DISTINCT name, nullif(upper(left(regexp_replace(name, '[^A-Za-z]', '', 'g'), 3)), '') AS code FROM (SELECT subject AS name FROM triples UNION ALL SELECT object FROM triples) WHERE name IS NOT NULL")
+def entity_name_codes(spark, folder):
+    return _facts_names(spark, folder).select("name", dialect.entity_code(F.col("name")).alias("code"))
+
+
+def _facts_names(spark, folder):
+    raw = table(spark, folder, "triples")
+    return raw.select(F.col("subject").alias("name")).unionByName(raw.select(F.col("object").alias("name"))).where("name is not null").distinct()
+
+
+@query("SELECT DISTINCT id, confidence, regexp_replace(regexp_replace(printf('%.3f', confidence), '0+$', ''), '\\.$', '') AS weight FROM triples WHERE confidence IS NOT NULL AND id IS NOT NULL")
+def weight_texts(spark, folder):
+    return table(spark, folder, "triples").where("confidence is not null and id is not null").select("id", "confidence", dialect.weight_texts(F.col("confidence")).alias("weight")).distinct()

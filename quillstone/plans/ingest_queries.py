@@ -42,9 +42,25 @@ def file_filters(spark, folder):
     return rows.select("id", files.in_skipped_folder(F.col("p")).alias("pruned"), files.skipped_name(F.col("p")).alias("skipped"), files.noisy_data(F.col("p"), F.lit(0)).alias("noisy"))
 
 
-@query()
+_DIARY_DAY = "CASE WHEN try_cast(left(filed_at, 10) AS DATE) IS NOT NULL AND regexp_matches(left(filed_at, 10), '^\\d{4}-\\d{2}-\\d{2}$') THEN left(filed_at, 10) WHEN try_cast(in_path AS DATE) IS NOT NULL THEN in_path ELSE 'unknown' END"
+_LANGUAGE = f"list_filter([{', '.join(f"CASE WHEN list_contains({S.listed(e.split())}, ext) THEN '{n}' END" for n, e in LANGUAGES.items())}], lambda x: x IS NOT NULL)[1]"
+
+
+@query(f"""WITH {DRAWERS}, x AS (SELECT *, lower(regexp_extract(source_file, '[^/\\\\]\\.([^./\\\\]+)$', 1)) AS ext, regexp_extract(source_file, '(?:^|[/_])(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) AS in_path FROM d WHERE content IS NOT NULL AND content_kind NOT IN ('conversation', 'documentation'))
+    SELECT id, CASE content_kind WHEN 'code' THEN 'path: ' || source_file || chr(10) || 'language: ' || {_LANGUAGE} || chr(10) || 'enclosing: file' || chr(10) || 'symbol: file' || chr(10) || 'identifier words: file file' || chr(10) || 'code:' || chr(10) || content
+        WHEN 'diary' THEN 'kind: diary' || chr(10) || 'date: ' || {_DIARY_DAY} || chr(10) || 'agent: ' || coalesce(added_by, 'unknown') || chr(10) || 'topic: ' || room || coalesce(chr(10) || 'source: ' || source_file, '') || chr(10) || 'verbatim:' || chr(10) || content
+        ELSE coalesce('kind: prose' || chr(10) || 'source: ' || source_file || chr(10) || 'verbatim:' || chr(10) || content, content) END AS retrieval_text FROM x""")
 def retrieval_texts(spark, folder):
-    d = drawers(spark, folder).where("content is not null")
+    return _retrieval_texts(drawers(spark, folder).where("content is not null and content_kind not in ('conversation', 'documentation')"))
+
+
+@query()
+def retrieval_texts_parsed(spark, folder):
+    """Those for which the text is parsed: roles of conversations, titles and headings of documentation."""
+    return _retrieval_texts(drawers(spark, folder).where("content is not null and content_kind in ('conversation', 'documentation')"))
+
+
+def _retrieval_texts(d):
     kind, path = F.col("content_kind"), F.col("source_file")
     code = T.code_retrieval_text(path, T.language(path), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("content"))
     diary = T.diary_retrieval_text(path, F.col("room"), F.coalesce("added_by", F.lit("unknown")), F.col("filed_at"), F.col("content"))
@@ -53,6 +69,22 @@ def retrieval_texts(spark, folder):
     return d.select("id", text.alias("retrieval_text"))
 
 
+@query(r"WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, nullif(trim(text, E' \t\r\n'), '') AS text FROM docs")
+def normalised_texts(spark, folder):
+    rows = table(spark, folder, "documents").where("doc_id is not null").select("doc_id", "text").distinct()
+    return rows.select("doc_id", T.normalised(F.col("text")).alias("text"))
+
+
+@query("""WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    f AS (SELECT doc_id, e, '---' || e || 'key: v' || e || '---' || e || text AS text FROM docs, (SELECT unnest([chr(10), chr(13) || chr(10)]) AS e))
+    SELECT doc_id, e = chr(10) AS unix, regexp_replace(text, CASE WHEN e = chr(10) THEN '\\A---\\n(?s:.*?)\\n---\\n' ELSE '\\A---\\r\\n(?s:.*?)\\r\\n---\\r\\n' END, '') AS text FROM f""")
+def front_matter(spark, folder):
+    rows = table(spark, folder, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    rows = rows.select("doc_id", "text", F.explode(F.array(F.lit("\n"), F.lit("\r\n"))).alias("e"))
+    fenced = F.concat(F.lit("---"), "e", F.lit("key: v"), "e", F.lit("---"), "e", "text")
+    return rows.select("doc_id", (F.col("e") == "\n").alias("unix"), T.without_front_matter(fenced).alias("text"))
+
+
 def _signal_sql(hints) -> str:
     cases = ", ".join(f"CASE WHEN contains(lower(text), {S.quoted(h)}) THEN '{c}' END" for h, c in hints)
     return f"array_to_string((SELECT list(c ORDER BY i) FROM (SELECT c, min(i) AS i FROM (SELECT unnest([{cases}]) AS c, unnest(range(0, {len(hints)})) AS i) WHERE c IS NOT NULL GROUP BY c))[1:3], '+')"

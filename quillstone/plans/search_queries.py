@@ -96,7 +96,7 @@ def phrase_match(spark, folder):
 # --- hybrid search: the same views in SQL, whose texts and weights are fixed by the query ---
 
 _DENSE, _LEXICAL = search.dense_views(ASK), search.lexical_views(ASK)
-_K = search.depth(20)
+_K = search.depth(20)  # that of any limit up to 128
 _ALL_TERMS = list(dict.fromkeys(t for v in _LEXICAL for t in v.terms))
 
 
@@ -146,18 +146,20 @@ def hash_embed_drawers(spark, folder):
     return rows.select("id", F.round(F.aggregate(indexed, F.lit(0.0), lambda s, z: s + z), 4).alias("checksum"), F.size("embedding").alias("n"))
 
 
-def _dense_sql(scope: str = "true") -> str:
+def _dense_sql(scope: str = "true", views=None) -> str:
     parts = [
         f"SELECT id, {i} AS view, {v.weight} AS weight, row_number() OVER (ORDER BY round({S.cosine('e', _doubles(_encode(v.text)))}, 12) DESC, id DESC) AS rank FROM encoded JOIN d USING (id) WHERE {_applies(v.target)} AND {scope} QUALIFY rank <= {_K}"
-        for i, v in enumerate(_DENSE)
+        for i, v in enumerate(views or _DENSE)
     ]
     return " UNION ALL ".join(parts)
 
 
-def _lexical_sql(scope: str = "true") -> str:
+def _lexical_sql(scope: str = "true", views=None) -> str:
     parts = []
-    for i, v in enumerate(_LEXICAL):
-        mine = [_ALL_TERMS.index(t) for t in v.terms]
+    views = views or _LEXICAL
+    every = list(dict.fromkeys(t for v in views for t in v.terms))
+    for i, v in enumerate(views):
+        mine = [every.index(t) for t in v.terms]
         hit = "(" + " OR ".join(f"tf[{j + 1}] > 0" for j in mine) + ")"
         parts.append(f"SELECT id, {i} AS view, {v.weight} AS weight, row_number() OVER (ORDER BY {S.bm25_score(mine, search.K1, search.B)} DESC, id) AS rank FROM counted, stats WHERE {hit} AND {_applies(v.target)} AND {scope} QUALIFY rank <= {_K}")
     return " UNION ALL ".join(parts)
@@ -207,8 +209,8 @@ def _hits(tokens, there: str) -> str:
     return "(" + (" + ".join(f"list_contains({there}, {S.quoted(t)})::INT" for t in tokens) or "0") + ")"
 
 
-def _code_sql() -> str:
-    own = T.tokens_of(ASK)
+def _code_sql(ask: str = ASK) -> str:
+    own = T.tokens_of(ask)
     found = T.concepts(own)
     tokens = [*own, *(c for c in found if c not in own)]
     compounds = list(dict.fromkeys([*T.variants(own), *T.variants(found)]))
@@ -219,20 +221,22 @@ def _code_sql() -> str:
         - CASE WHEN {_any([chr(92) + 'generated' + chr(92), '/generated/', chr(92) + 'target' + chr(92), '/target/'], 'lsource')} THEN 0.15 ELSE 0.0 END)"""
 
 
-def _temporal_sql() -> str:
-    target = T.relative_date(ASK, AS_OF)
+def _temporal_sql(ask: str = ASK) -> str:
+    target = T.relative_date(ask, AS_OF)
+    if target is None:
+        return "0.0"
     days = f"abs(datediff('day', DATE '{target}', {S.memory_date('filed_at')}))"
     return f"coalesce(CASE WHEN {days} = 0 THEN 0.45 WHEN {days} = 1 THEN 0.35 WHEN {days} <= 3 THEN 0.2 WHEN {days} <= 7 THEN 0.1 WHEN {days} <= 14 THEN 0.04 END, 0.0)"
 
 
-def _general_sql() -> str:
-    own = T.tokens_of(ASK)
+def _general_sql(ask: str = ASK) -> str:
+    own = T.tokens_of(ask)
     core = T.core_tokens(own)
     n = _hits(core, "btok")
     phrases = [f"{a}{sep}{b}" for a, b in zip(core, core[1:]) for sep in " -"]
     likes = f"CASE WHEN {n} > 0 AND {_any(W.PREFERENCE_SPANS, 'lbody')} THEN 0.18 ELSE 0.0 END" if set(own) & set(W.PREFERENCE_WORDS) else "0.0"
     return f"""(0.035 * least({n}, 8) + CASE WHEN {n} >= 2 THEN 0.12 * least(1.0, {n} / {len(core)}) ELSE 0.0 END + CASE WHEN {_any(phrases, 'lbody')} THEN 0.08 ELSE 0.0 END
-        + CASE WHEN content_kind = 'documentation' THEN 0.04 * least({_hits(core, 'ptok')}, 3) ELSE 0.0 END + {likes} + {_temporal_sql()})"""
+        + CASE WHEN content_kind = 'documentation' THEN 0.04 * least({_hits(core, 'ptok')}, 3) ELSE 0.0 END + {likes} + {_temporal_sql(ask)})"""
 
 
 _PARTS = f"""parts AS (SELECT id, content_kind, filed_at, {S.ascii_lower("coalesce(content, '')")} AS lcontent, {S.ascii_lower("coalesce(source_file, '')")} AS lsource,
@@ -282,11 +286,20 @@ def hybrid_wing(spark, folder):
     return search.shown(_search(spark, folder, search.Query(ASK, limit=10, as_of=AS_OF, wing=WING)))
 
 
-@query()
+#: A text to file, and how alike what is there may be.
+NEW, ALIKE = "Keep the frozen tokenizer config as it was before the login error", 0.3
+_NEW_LEXICAL = search.lexical_views(NEW)
+
+
+@query(f"""WITH {_ENCODED}, {S.bm25(list(dict.fromkeys(t for v in _NEW_LEXICAL for t in v.terms)), search.K1, search.B)},
+    fused AS (SELECT id, sum(weight / (60 + rank)) AS fused FROM ({_dense_sql(views=search.dense_views(NEW))} UNION ALL {_lexical_sql(views=_NEW_LEXICAL)}) GROUP BY id), {_PARTS},
+    boosted AS (SELECT id, fused / (SELECT max(fused) FROM fused) + CASE WHEN content_kind = 'code' THEN {_code_sql(NEW)} ELSE {_general_sql(NEW)} END AS b FROM fused JOIN named USING (id)),
+    hits AS (SELECT id, greatest(0.0, least(1.0, b / (SELECT max(b) FROM boosted))) AS relevance, {S.cosine('e', _doubles(_encode(NEW)))} AS score FROM boosted JOIN encoded USING (id)),
+    best AS (SELECT * FROM hits ORDER BY relevance DESC, score DESC, id LIMIT 5)
+    SELECT id, round(score, 6) AS score FROM best WHERE score >= {ALIKE}""")
 def duplicate_check(spark, folder):
     made = prepared.store(spark, folder)
-    content = table(spark, folder, "drawers").where("content is not null").agg(F.min_by("content", "id")).first()[0]
-    return search.duplicates(made.drawers(), content, _encode, inverted=made.inverted()).select("id", F.round("score", 6).alias("score"))
+    return search.duplicates(made.drawers(), NEW, _encode, ALIKE, made.inverted()).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {DRAWERS} SELECT min(id) AS id, count(*) AS copies FROM d WHERE content IS NOT NULL GROUP BY content HAVING count(*) > 1")
