@@ -15,7 +15,21 @@ from quillstone.sources import files
 from quillstone.streaming import assembly, incremental
 
 
-@query()
+#: White space as ``str.strip`` takes it.
+_SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ' || chr(133) || chr(160) || chr(5760) || " + " || ".join(f"chr({c})" for c in (*range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_CUT = f"CASE WHEN pos + {chunking.SIZE} >= n THEN n ELSE list_max(list_filter(begins, lambda i: i <= pos + {chunking.SIZE})) END"
+_LAST = lambda marks, width: f"list_max(list_filter({marks}, lambda i: i >= pos AND i + {width} <= cut))"
+_STOP_AT = f"CASE WHEN cut = n THEN n WHEN {_LAST('blank', 2)} - pos > {chunking.SIZE // 2} THEN {_LAST('blank', 2)} WHEN {_LAST('ends', 1)} - pos > {chunking.SIZE // 2} THEN {_LAST('ends', 1)} ELSE cut END"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, trim(text, {_SPACE}) AS t FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+    b AS (SELECT row_number() OVER () AS r, doc_id, t, strlen(t) AS n, regexp_extract_all(hex(encode(t)), '..') AS x FROM s WHERE t <> ''),
+    l AS MATERIALIZED (SELECT r, doc_id, t, n, list_filter(range(0, n), lambda i: x[i + 1] = '0A') AS ends, list_filter(range(0, n - 1), lambda i: x[i + 1] = '0A' AND x[i + 2] = '0A') AS blank,
+            list_filter(range(0, n), lambda i: x[i + 1] < '80' OR x[i + 1] >= 'C0') AS begins FROM b),
+    w AS (SELECT r, pos, {_STOP_AT} AS stop FROM (SELECT *, {_CUT} AS cut FROM (SELECT *, 0::BIGINT AS pos FROM l))
+        UNION ALL SELECT r, pos, {_STOP_AT} AS stop FROM (SELECT *, {_CUT} AS cut FROM (SELECT l.*, list_max(list_filter(begins, lambda i: i <= stop - {chunking.OVERLAP})) AS pos FROM w JOIN l USING (r) WHERE stop < n))),
+    c AS (SELECT r, pos, doc_id, trim(substr(t, list_position(begins, pos), CASE WHEN stop = n THEN length(t) + 1 ELSE list_position(begins, stop) END - list_position(begins, pos)), {_SPACE}) AS chunk FROM w JOIN l USING (r))
+    SELECT doc_id, (row_number() OVER (PARTITION BY r ORDER BY pos) - 1)::INT AS chunk_index, chunk FROM c WHERE strlen(chunk) >= {chunking.LEAST}""")
 def chunk_text(spark, folder):
     rows = table(spark, folder, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
     return rows.select("doc_id", F.posexplode(chunking.chunks(F.col("text"), F.lit(None).cast("string"))).alias("chunk_index", "c")).select("doc_id", "chunk_index", F.col("c.chunk").alias("chunk"))
