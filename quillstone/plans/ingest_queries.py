@@ -227,22 +227,40 @@ def session_exchanges(spark, folder):
 _J = "CASE WHEN json_valid(raw_line) AND json_type(raw_line) = 'OBJECT' THEN raw_line::JSON END"
 
 
-@query(f"""WITH r AS (SELECT * FROM session_records WHERE adapter = 'log_a' QUALIFY row_number() OVER (PARTITION BY source_key, start_byte ORDER BY read_at DESC) = 1),
+_TURNS = f"""r AS (SELECT * FROM session_records WHERE adapter = 'log_a' QUALIFY row_number() OVER (PARTITION BY source_key, start_byte ORDER BY read_at DESC) = 1),
     j AS (SELECT source_key, start_byte, {_J} AS j FROM r JOIN (SELECT DISTINCT adapter, source_key FROM session_files) USING (adapter, source_key) WHERE has_newline),
-    ev AS (SELECT source_key, start_byte, j ->> '$.type' AS kind, j ->> '$.timestamp' AS stamp, j ->> '$.payload.id' AS session, coalesce(j ->> '$.payload.thread_source', '') = 'subagent' OR coalesce(j -> '$.payload.source.subagent', 'null')::VARCHAR <> 'null' AS sub,
+    ev AS (SELECT source_key, start_byte, j ->> '$.type' AS kind, j ->> '$.timestamp' AS stamp, j ->> '$.payload.id' AS session, j ->> '$.payload.cwd' AS project, coalesce(CASE WHEN json_type(j, '$.payload.client_id') = 'VARCHAR' THEN j ->> '$.payload.client_id' END, start_byte::VARCHAR) AS anchor,
+            coalesce(j ->> '$.payload.thread_source', '') = 'subagent' OR coalesce(j -> '$.payload.source.subagent', 'null')::VARCHAR <> 'null' AS sub,
             CASE WHEN j ->> '$.type' = 'event_msg' AND j ->> '$.payload.type' = 'user_message' THEN nullif(trim(j ->> '$.payload.message', E' \\t\\r\\n'), '') END AS asked,
             CASE WHEN j ->> '$.type' = 'response_item' AND j ->> '$.payload.type' = 'message' AND j ->> '$.payload.role' = 'assistant' AND j ->> '$.payload.phase' = 'final_answer' THEN nullif(array_to_string(
                 list_filter(list_transform(list_filter((j -> '$.payload.content')::JSON[], lambda p: (p ->> '$.type') = 'output_text'), lambda p: trim(p ->> '$.text', E' \\t\\r\\n')), lambda x: x <> ''), chr(10)), '') END AS answer
           FROM j WHERE j IS NOT NULL),
-    meta AS (SELECT source_key, arg_min(session, start_byte) AS session, arg_min(sub, start_byte) AS sub FROM ev WHERE kind = 'session_meta' GROUP BY source_key),
-    n AS (SELECT *, count(answer) OVER (PARTITION BY source_key ORDER BY start_byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM ev WHERE asked IS NOT NULL OR answer IS NOT NULL)
-    SELECT source_key, string_agg(asked, chr(10) ORDER BY start_byte) AS users, max(answer) AS assistant, coalesce(arg_max(stamp, start_byte), arg_min(stamp, start_byte)) AS timestamp, any_value(meta.session) AS session_id
-    FROM n LEFT JOIN meta USING (source_key) WHERE NOT coalesce(meta.sub, false) GROUP BY source_key, g HAVING count(asked) > 0 AND count(answer) > 0""")
+    meta AS (SELECT source_key, arg_min(session, start_byte) AS session, arg_min(sub, start_byte) AS sub, arg_min(project, start_byte) AS project FROM ev WHERE kind = 'session_meta' GROUP BY source_key),
+    n AS (SELECT *, count(answer) OVER (PARTITION BY source_key ORDER BY start_byte ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM ev WHERE asked IS NOT NULL OR answer IS NOT NULL),
+    turns AS (SELECT source_key, string_agg(asked, chr(10) ORDER BY start_byte) AS users, string_agg('user: ' || asked, chr(10) ORDER BY start_byte) AS said, max(answer) AS assistant, coalesce(arg_max(stamp, start_byte), arg_min(stamp, start_byte)) AS timestamp,
+            any_value(meta.session) AS session_id, any_value(meta.project) AS project, arg_min(n.anchor, start_byte) FILTER (asked IS NOT NULL) AS anchor
+        FROM n LEFT JOIN meta USING (source_key) WHERE NOT coalesce(meta.sub, false) GROUP BY source_key, g HAVING count(asked) > 0 AND count(answer) > 0)"""
+
+
+@query(f"WITH {_TURNS} SELECT source_key, users, assistant, timestamp, session_id FROM turns")
 def session_turns(spark, folder):
     rows = assembly.exchanges(_lines(spark, folder).where("adapter = 'log_a'"))
     return rows.select("source_key", F.array_join("users", "\n").alias("users"), "assistant", "timestamp", "session_id")
 
 
+#: The fifth kind of UUID: SHA-1 of the name space of URLs and the name, with its version and variant.
+_UUID = "substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 15)"
+
+
+@query(f"""WITH {_TURNS}, p AS (SELECT source_key, arg_max(source_path, modified_ns) AS source_path FROM session_files WHERE adapter = 'log_a' GROUP BY source_key),
+    x AS (SELECT turns.*, coalesce(source_path, source_key) AS source_file, coalesce(session_id, 'unknown-session') AS session, said || chr(10) || 'assistant: ' || assistant AS content, list_filter(regexp_split_to_array(project, '[/\\\\]'), lambda q: q <> '')[-1] AS last FROM turns JOIN p USING (source_key)),
+    u AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('log_a:' || source_file || ':' || session || ':' || anchor)) AS h FROM x)
+    SELECT 'drawer_session_' || {_UUID} AS id, content, concat_ws(chr(10), 'kind: conversation', 'agent: log_a', 'session: ' || session, 'project: ' || project, CASE WHEN length(timestamp) >= 10 THEN 'date: ' || left(timestamp, 10) END, content) AS retrieval_text,
+        'conversation' AS content_kind, 'sessions' AS wing, coalesce(nullif(trim(regexp_replace(lower(last), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'general') AS room, source_file, 0::BIGINT AS chunk_index, 'log_a' AS added_by, timestamp AS filed_at FROM u""")
+def session_turn_drawers(spark, folder):
+    return assembly.as_drawers(assembly.exchanges(_lines(spark, folder).where("adapter = 'log_a'")), "sessions")
+
+
 @query()
 def session_drawers(spark, folder):
     return assembly.as_drawers(assembly.exchanges(_lines(spark, folder)), "sessions")
